@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sharding, warc
+from . import line_dedup, mixing, near_dup, quality, sharding, warc
 
 QUERIES = {
+    "op2_tensored_minhash": near_dup.op2_tensored_minhash,
+    "op4_quality_forest": quality.op4_quality_forest,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_jump_shards": sharding.op6_jump_shards,
     "op8_warc_round_trip": warc.op8_warc_round_trip,
     "op9_fair_mix": mixing.op9_fair_mix,
 }
 ORACLES = {
+    "op2_tensored_minhash": near_dup.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op6_jump_shards": sharding.SQL,
     "op8_warc_round_trip": warc.SQL,
