@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +54,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def lower_ascii(col: Column) -> Column:
-    """Lower-case A-Z only. Pure ASCII text takes the fast path."""
-    return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(
-        F.translate(col, UPPER, UPPER.lower())
-    )
+    """Lower-case A-Z only. Pure ASCII text takes the fast path; byte-wise
+    replacement of single letters is far quicker than ``translate``."""
+    replaced = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(x.lower())), UPPER, col)
+    return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(replaced)
 
 
 def count_words(col: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dup, quality, sharding, warc
+from . import decontam, line_dedup, mixing, near_dup, quality, sharding, warc
 
 QUERIES = {
+    "op1_decontaminate": decontam.op1_decontaminate,
     "op2_tensored_minhash": near_dup.op2_tensored_minhash,
     "op4_quality_forest": quality.op4_quality_forest,
     "op5_line_dedup": line_dedup.op5_line_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
     "op9_fair_mix": mixing.op9_fair_mix,
 }
 ORACLES = {
+    "op1_decontaminate": decontam.SQL,
     "op2_tensored_minhash": near_dup.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op6_jump_shards": sharding.SQL,
