@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, mixing, near_dup, quality, sharding, warc
+from . import decontam, line_dedup, mixing, near_dup, pii, quality, sharding, warc
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_forest": quality.op4_quality_forest,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_jump_shards": sharding.op6_jump_shards,
+    "op7_personal_data": pii.op7_personal_data,
     "op8_warc_round_trip": warc.op8_warc_round_trip,
     "op9_fair_mix": mixing.op9_fair_mix,
 }
