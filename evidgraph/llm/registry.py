@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, line_dedup, mixing, near_dup, pii, quality, sharding, warc
+from . import decontam, html_extract, line_dedup, mixing, near_dup, pii, quality, sharding, warc
 
 QUERIES = {
     "op1_decontaminate": decontam.op1_decontaminate,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_personal_data": pii.op7_personal_data,
     "op8_warc_round_trip": warc.op8_warc_round_trip,
     "op9_fair_mix": mixing.op9_fair_mix,
+    "op10_recurrent_extract": html_extract.op10_recurrent_extract,
 }
 ORACLES = {
     "op1_decontaminate": decontam.SQL,
