@@ -259,5 +259,23 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000)
     return judge(stats, fit_on_labels(stats, labels, max_rows))
 
 
+def quality_filter(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules keep. The
+    model is fitted as in ``quality_verdicts``, on at most ``max_rows`` labels;
+    that bound lets the labels be broadcast."""
+    some = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long"), "quality")
+    some = settle(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "labels")
+    known = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fit_on_labels(statistics(known), some, max_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([text_statistics(t.as_py()) for t in batch.column("text")], np.int64).reshape(-1, len(COUNTS) + len(EXTRA))
+            c = {k: rows[:, i] for i, k in enumerate(COUNTS + EXTRA)}
+            yield batch.filter(pa.array(~base_failed(c) & model.keep(features(c))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality_forest(spark, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -19,6 +19,7 @@ from .common import read
 _MUL_HIGH = 2862933555777941757 >> 32
 _MUL_LOW = 2862933555777941757 & 0xFFFFFFFF
 _SCALE = 2147483648.0
+ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def _advance(k: str) -> str:
@@ -58,7 +59,7 @@ def shard(docs: DataFrame, n: int = 40) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(
-        *[c for c in docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")],
+        *[c for c in docs.columns if c not in ADDED],
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
@@ -78,7 +79,7 @@ def shard(docs: DataFrame, n: int = 40) -> DataFrame:
     return (
         base.join(offsets, ["shard", "__b"])
         .withColumn("slot", (F.col("__off") + F.row_number().over(inside) - 1).cast("long"))
-        .drop("__b", "__h", "__off")
+        .select(*[c for c in docs.columns if c not in ADDED], *ADDED)
     )
 
 
