@@ -1,0 +1 @@
+"""Provenance graphs and lexical retrieval on Spark DataFrames."""
