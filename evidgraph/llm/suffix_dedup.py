@@ -4,11 +4,11 @@ Suffixes are sampled: every 200-byte window contains, at the same place in
 each copy, an anchor, the least of its q-byte grams. Anchors with equal grams
 form the initial buckets; a bucket of one ends there. What remains is refined
 recursively. A node of the recursion is a range of window offsets around an
-anchor. Its core, the bytes all its windows share, tells buckets apart; its
-hull, the bytes they cover together, tells when a bucket's members agree on
-everything. A lone core has no repeated window, one hull for all means that
-all windows repeat, and any other bucket is split by later offsets, with the
-parent's result reused, down to single windows. Each step is a partial
+anchor. Its core, the bytes all its windows share, forms buckets; its hull, the
+bytes they cover together, forms classes within a bucket. A lone core has no
+repeated window; all windows of a hull that occurs twice repeat. A bucket that
+still holds a lone hull beside others is split by later offsets, one member of
+each class standing for it, down to single windows. Each step is a partial
 aggregation and a join that may be split, so one very frequent passage does
 not gather in a task; the result is exact up to 64-bit hash collisions.
 """
@@ -184,25 +184,28 @@ def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 100) -> Data
     discard(members)
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(length - gram).alias("hi")))
     todo = around.withColumn("open", whole)
-    held: list[DataFrame] = []
     for level, width in enumerate(WIDTHS):
         parts = settle(
             todo.select("rid", "pos", "at", "low", "high", "bytes", "open").mapInArrow(_split(length, level, width), _SPLIT), "split"
         )
-        buckets = settle(
-            parts.groupBy("core").agg(F.count(F.lit(1)).alias("c"), (F.min("hull") == F.max("hull")).alias("one"))
-            .filter("c > 1").select("core", "one"),
-            "refined",
+        classes = settle(
+            parts.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "pos", "lo", "hi")).alias("first")),
+            "classes",
         )
-        judged = settle(parts.join(buckets, "core").select("rid", "pos", "lo", "hi", "start", "end", "one"), "judged")
-        discard(parts, buckets, *held)
-        marks.append(judged.filter("one").select("rid", "start", "end"))
+        alike = settle(classes.filter("c > 1").select("core", "hull"), "alike")
+        marks.append(settle(parts.join(alike, ["core", "hull"]).select("rid", "start", "end"), "sure"))
         if width == 1:
+            discard(parts, classes, alike)
             break
+        mixed = settle(
+            classes.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("least")).filter("k > 1 AND least = 1").select("core"),
+            "mixed",
+        )
         open_ = settle(
-            judged.filter("NOT one").groupBy("rid", "pos").agg(F.collect_list(F.struct("lo", "hi")).alias("open")), "open"
+            classes.join(mixed, "core").groupBy("first.rid", "first.pos").agg(F.collect_list(F.struct("first.lo", "first.hi")).alias("open")),
+            "open",
         )
-        held = [open_]
+        discard(parts, classes, alike, mixed)
         todo = around.join(open_, ["rid", "pos"])
     out = marks[0]
     for m in marks[1:]:
