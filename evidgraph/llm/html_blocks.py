@@ -82,7 +82,7 @@ def read_blocks(source: str) -> list[Block]:
 
     def pop(n: int) -> None:
         nonlocal silent, in_link
-        if any(name not in INLINE for name, _ in stack[n:]):
+        if any(name not in INLINE and name not in RAW for name, _ in stack[n:]):
             flush()
         for name, _ in stack[n:]:
             silent -= name in SILENT
@@ -138,7 +138,7 @@ def read_blocks(source: str) -> list[Block]:
             close({"p"}, frozenset({"td", "th", "button", "object"}))
         if name in _CLOSES_SAME:
             close(_CLOSES_SAME[name], _SCOPE - {"td", "th"})
-        if name not in INLINE:
+        if name not in INLINE and name not in RAW:
             flush()
         if name not in VOID and not source.startswith("/>", end - 2) or name in RAW:
             attrs = source[m.end() : end]
