@@ -1,0 +1,48 @@
+"""The registered queries against SQL, and the pipeline's stages against brute force."""
+
+from __future__ import annotations
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(__file__))
+sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
+import brute
+from oracle import SF, connect, same
+
+import corpus_pipeline as cp
+from evidgraph.llm.registry import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, name):
+    df = QUERIES[name](spark, SF)
+    if name in ORACLES:
+        same(df, connect(), ORACLES[name])
+    else:
+        table = "pages" if name.startswith("op10") else "documents"
+        assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+def test_pipeline(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = docs.columns
+    for i, (name, stage) in enumerate(cp.STAGES):
+        before = {r.doc_id: r for r in docs.collect()}
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        after = docs.collect()
+        if name == "near-duplicates":
+            groups = brute.near_groups([(d, r.text) for d, r in before.items()], 5)
+            assert {r.doc_id for r in after} == set(groups.values())
+        if name == "decontamination":
+            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            assert {r.doc_id for r in after} == {x[0] for x in brute.contaminated([(d, r.text) for d, r in before.items()], items) if not x[5]}
+        if name == "sharding":
+            assert all(r.shard == brute.jump(r.doc_id, 40) for r in after)
+        else:
+            assert docs.columns == first and after
+    whole = cp.run(spark, SF)
+    assert sorted((r.doc_id, r.shard, r.slot) for r in whole.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in after)
