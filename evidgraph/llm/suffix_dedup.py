@@ -265,8 +265,8 @@ def op3_bucket_refinement(spark, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
-w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS s FROM d WHERE n >= 200)),
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, s, md5(h[s + 1:s + 200]) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS s FROM d WHERE n >= 200)),
 r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
 p AS (SELECT doc_id, s, lag(s) OVER o AS a, lead(s) OVER o AS b FROM w JOIN r USING (k) WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
 t AS (SELECT doc_id, sum(least(200, coalesce(b - s, 200))) AS n_removed, count(*) FILTER (WHERE a IS NULL OR s > a + 200) AS n_spans FROM p GROUP BY doc_id),
@@ -275,7 +275,7 @@ g AS (  -- kept pieces: before the first, between and after the last repeated wi
   UNION ALL SELECT p.doc_id, s + 200, n FROM p JOIN d USING (doc_id) WHERE b IS NULL
   UNION ALL SELECT doc_id, 0, n FROM d WHERE doc_id NOT IN (SELECT doc_id FROM t)
 ),
-k AS (SELECT g.doc_id, sha256(unhex(string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x))) AS kept_sha256 FROM g JOIN d USING (doc_id) GROUP BY g.doc_id)
+k AS (SELECT g.doc_id, sha256(unhex(string_agg(hex(h[x + 1:y]), '' ORDER BY x))) AS kept_sha256 FROM g JOIN d USING (doc_id) GROUP BY g.doc_id)
 SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, kept_sha256
 FROM d LEFT JOIN t USING (doc_id) JOIN k USING (doc_id)
 """
