@@ -178,9 +178,8 @@ def traverse(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: in
     (query_id, node, type, label, score, distance, via_type, via_source, via_target).
 
     The walk needs only the neighbourhood of its seeds: the edges among nodes
-    that ``weighted_reach`` finds, the strongest ``max_items`` * 40 a query and
-    all their ties in depth. The greedy settling of that bounded set runs as
-    one group a query.
+    that ``weighted_reach`` finds, the strongest ``max_items`` * 40 a query. The
+    greedy settling of that bounded set runs as one group a query.
     """
     import pandas as pd
 

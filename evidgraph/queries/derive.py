@@ -15,7 +15,6 @@ _DOCS = "SELECT 'doc:' || doc_id AS id, lang || '/' || source AS path, md5(text)
 _LABELED = "SELECT 'label:' || doc_id AS source, 'doc:' || doc_id AS target, 'APPLIES_TO' AS type FROM {labels}"
 _GOVERNING = "SELECT 'label:' || doc_id AS id FROM {labels} WHERE quality = 1"
 _TASK = "SELECT item_id AS task_id, text AS summary FROM {benchmark}"
-_PLACED = "SELECT id, path FROM nodes"
 
 
 def _records(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import resolve as r
 from ..sources import comments, config_keys, html_links
+from .views import ctes as _c
 from .views import view
 
 _POINTS = "SELECT user_id % 20 AS rel, event_id AS point_id, CAST(floor(value * 10) AS BIGINT) AS at FROM {events}"
@@ -70,7 +71,6 @@ def link_extract(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     resolve_name_confidence, resolve_priority_coalesce, tightest_enclosing_range, prefix_expand, config_keys_flatten, config_key_refs, comment_tags, link_extract)}
-from .views import ctes as _c  # noqa: E402
 
 ORACLES = {
     "resolve_name_confidence": f"""WITH {_c(calls=_CALLS, symbols=_SYMBOLS)},

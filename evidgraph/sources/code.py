@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 FACT = "fact string, qualname string, kind string, line int, end_line int, target string, receiver string, name string, alias string, level int, message string"
-_NONE = (None,) * 10
 
 
 def _row(fact: str, **given) -> tuple:
