@@ -227,7 +227,10 @@ def fit_on_labels(stats: DataFrame, labels: DataFrame, max_rows: int = 20_000) -
     """Fit on at most ``max_rows`` labelled rows, the first by a hash of
     doc_id. Labels without a document, or null, are left out."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL")
-    rows = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).toPandas()
+    first = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # settled first: a collected top-k would send each partition's rows to the driver
+    rows = settle(first, "fit-rows").toPandas()
+    rows = rows.sort_values(list(rows.columns), ignore_index=True)
     c = {k: rows[k].to_numpy(np.int64) for k in COUNTS + EXTRA}
     able = ~base_failed(c) if len(rows) else np.zeros(0, bool)
     return fit(features(c)[able], rows["quality"].to_numpy()[able] == 1)
