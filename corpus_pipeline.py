@@ -15,10 +15,12 @@ from evidgraph.llm.common import read, settle
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose (doc_id, th) is in ``dropped``."""
+    """``docs`` less the rows whose (doc_id, th) is in ``dropped``. A merge join
+    at every size: the dropped rows grow with the input, so a broadcast would
+    only postpone the shuffle."""
     gone = settle(dropped.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct(), "dropped")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
-    return docs.join(gone, same, "left_anti")
+    return docs.join(gone.hint("merge"), same, "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,7 +136,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, epochs: int = 2) -
         F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
     )
     return (
-        sized.join(plan, same)
+        sized.join(plan.hint("merge"), same)  # the plan grows with the documents: never a broadcast
         .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy"))
         .drop("__copy")
     )

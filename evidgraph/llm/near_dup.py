@@ -171,7 +171,8 @@ def near_duplicates(
     nodes = settle(
         pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(keys.select("node")).distinct(), "nodes"
     )
-    texts = base.join(nodes, base["doc_id"] == nodes["node"]).select("node", "text")
+    # the candidates grow with the documents, so this is a merge join at every size
+    texts = base.join(nodes.hint("merge"), base["doc_id"] == nodes["node"]).select("node", "text")
     sets = settle(texts.mapInArrow(_sets(width), "node long, s array<long>"), "sets")
     links = settle(_links(pairs, sets, percent), "links")
     tested = [pairs]
