@@ -8,10 +8,11 @@ with similarity s meets in some table with probability
 (1 - (1 - s^rows)^tables)^2: 0.996 at 0.8, over 0.99999 at 0.9.
 
 Documents with equal shingle sets form one class from the start. In each
-table's bucket every class is compared with one representative, never with
-all others; buckets that still hold several components are swept again with
-other representatives until a sweep finds no link. Each candidate is confirmed
-on the full shingle sets.
+table's bucket every class is compared with one representative, which then
+leaves the bucket. Buckets that still hold several components are swept again
+with 1, 2, 4 ... other representatives, until each bucket holds one component:
+no two classes that met and that their sizes admit stay uncompared, unless
+links join them already. Each candidate is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read, settle
 from .components import components
 
 _GOLDEN = 0x9E3779B97F4A7C15
+#: Representatives of a bucket in one sweep; sweeps follow until none is left.
+_MOST_REPRESENTATIVES = 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -118,7 +121,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 12, rows: int = 4, max_sweeps: int = 20
+    docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 12, rows: int = 4
 ) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, kept), one row for each input row.
 
@@ -177,36 +180,39 @@ def near_duplicates(
     links = settle(_links(pairs, sets, percent), "links")
     tested = [pairs]
     found = components(links)
-    for sweep in range(1, max_sweeps + 1):
+    # the first representative of a bucket has met all of it and leaves it
+    keys = keys.join(reps.select("key", F.col("rep").alias("node")), ["key", "node"], "left_anti")
+    width_of_sweep = 1
+    while True:
         member = settle(
             keys.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")), "members"
         )
-        order = F.struct(F.xxhash64("node", F.lit(sweep)), F.col("node"), F.col("n"), F.col("c"))
-        mixed = settle(
-            member.groupBy("key").agg(F.min(order).alias("r"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-            .filter("lo <> hi")
-            .select("key", F.col("r.node").alias("rep"), F.col("r.n").alias("rn"), F.col("r.c").alias("rc")),
-            "mixed",
+        mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+        member = settle(member.join(mixed, "key"), "mixed")
+        if member.isEmpty():
+            break
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+        chosen = settle(
+            member.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= width_of_sweep)
+            .select("key", F.col("node").alias("rep"), F.col("n").alias("rn"), F.col("c").alias("rc")),
+            "chosen",
         )
         fresh = (
-            member.join(mixed, "key").filter((F.col("c") != F.col("rc")) & fits)
+            member.join(chosen, "key").filter((F.col("c") != F.col("rc")) & fits)
             .select(F.least("rep", "node").alias("u"), F.greatest("rep", "node").alias("v")).distinct()
         )
         for old in tested:
             fresh = fresh.join(old, ["u", "v"], "left_anti")
         fresh = settle(fresh, "fresh")
-        if fresh.isEmpty():
-            if sweep > 1:
-                break
-            continue
         tested.append(fresh)
         more = settle(_links(fresh, sets, percent), "more-links")
-        if more.isEmpty():
-            if sweep > 2:
-                break
-            continue
-        links = settle(links.union(more), "links")
-        found = components(links)
+        if not more.isEmpty():
+            links = settle(links.union(more), "links")
+            found = components(links)
+        keys = member.select("key", "node", "n").join(
+            chosen.select("key", F.col("rep").alias("node")), ["key", "node"], "left_anti"
+        )
+        width_of_sweep = min(2 * width_of_sweep, _MOST_REPRESENTATIVES)
     named = settle(
         classes.select("k1", "k2", "node").join(found, "node", "left")
         .select("k1", "k2", F.coalesce("component", "node").alias("component")),

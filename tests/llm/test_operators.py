@@ -66,6 +66,25 @@ def test_near_duplicates(docs, texts, width):
     assert got == {d: (len(brute.shingles(texts[d], width)), c, c == d) for d, c in want.items()}
 
 
+def test_near_duplicates_family(spark):
+    """Variants near one original and far from each other; the original comes last."""
+    rng = random.Random(12)
+    first = [f"w{i}" for i in range(240)]
+    texts = []
+    for v in range(60):
+        words = list(first)
+        for k, at in enumerate(rng.sample(range(0, 238, 2), 10)):
+            words[at] = f"v{v}x{k}"
+        texts.append(" ".join(words))
+    texts.append(" ".join(first))
+    want = brute.near_groups(list(enumerate(texts)), 2)
+    apart = brute.near_groups(list(enumerate(texts[:-1])), 2)
+    assert set(want.values()) == {0} and len(set(apart.values())) > 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, width=2).collect()}
+    assert got == want
+
+
 def test_near_duplicates_odd(empty, odd):
     assert near_dup.near_duplicates(empty).count() == 0
     rows = near_dup.near_duplicates(odd).collect()
