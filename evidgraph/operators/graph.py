@@ -173,29 +173,48 @@ def weighted_reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_dep
     )
 
 
+def _priority(type_: Column) -> Column:
+    chain = F.lit(10)
+    for name, p in TYPE_PRIORITY.items():
+        chain = F.when(type_ == name, F.lit(p)).otherwise(chain)
+    return chain
+
+
 def traverse(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int = 2, max_items: int = 20) -> DataFrame:
     """G01 exactly: best-first by strength, ``max_items`` nodes settled a query:
     (query_id, node, type, label, score, distance, via_type, via_source, via_target).
 
-    The walk needs only the neighbourhood of its seeds: the edges among nodes
-    that ``weighted_reach`` finds, the strongest ``max_items`` * 40 a query. The
-    greedy settling of that bounded set runs as one group a query.
+    Neighbours are visited by edge weight, type priority, label and id. A node
+    passes its neighbours on in that order of strength, and those before a
+    settled one are settled themselves, so no more than the first ``max_items``
+    distinct neighbours of a node can be settled from it. Levels of these lists
+    are all that the walk reads, at any size of hub; it runs as one group a query.
     """
     import pandas as pd
 
-    reach = weighted_reach(edges, nodes, seeds, max_depth)
-    strong = Window.partitionBy("query_id").orderBy(F.desc("strength"), "node")
-    local = settle(
-        reach.withColumn("r", F.row_number().over(strong)).filter(F.col("r") <= max_items * 40).select("query_id", "node"), "local"
-    )
-    allowed = edges.filter(F.col("type").isin(list(EDGE_WEIGHTS))).select("source", "target", "type")
-    inner = local.select("query_id", F.col("node").alias("source")).join(allowed, "source").join(
-        local.select("query_id", F.col("node").alias("target")), ["query_id", "target"]
-    )
+    known = nodes.select(F.col("id").alias("there"), F.coalesce("label", F.lit("")).alias("name"), _priority(F.col("type")).alias("p"))
+    near = adjacency(edges.filter(F.col("type").isin(list(EDGE_WEIGHTS)))).withColumn("w", edge_weight(F.col("type")))
+    near = near.withColumn("step", F.col("w") * F.when(F.col("forward"), F.lit(1.0)).otherwise(F.lit(REVERSE_FACTOR)))
+    level = local = settle(seeds.select("query_id", F.col("id").alias("node")).distinct(), "local")
+    inner = None
+    for _ in range(max_depth):
+        own = near.join(level.select(F.col("node").alias("here")).distinct(), "here").join(known, "there")
+        best = F.min(F.struct((-F.col("step")).alias("s"), (-F.col("w")).alias("w"), "p", "name", "there", "type", "forward")).alias("b")
+        order = Window.partitionBy("here").orderBy("b.s", "b.w", "b.p", "b.name", "there")
+        first = own.groupBy("here", "there").agg(best).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max_items)
+        first = first.select(F.col("here").alias("node"), "there", "b.type", "b.forward")
+        step = settle(level.join(first, "node").select("query_id", F.col("node").alias("source"), F.col("there").alias("target"), "type", "forward"), "steps")
+        inner = step if inner is None else inner.unionByName(step)
+        level = settle(
+            step.select("query_id", F.col("target").alias("node")).distinct().join(local, ["query_id", "node"], "left_anti"), "level"
+        )
+        local = local.unionByName(level)
+    if inner is None:
+        inner = local.limit(0).select("query_id", F.col("node").alias("source"), F.col("node").alias("target"), F.col("node").alias("type"), F.lit(True).alias("forward"))
     status = F.get_json_object("data", "$.status") if "data" in nodes.columns else F.lit(None).cast("string")
     info = nodes.select(F.col("id").alias("node"), "type", "label", status.alias("status"))
     rows = (
-        inner.select("query_id", F.lit("edge").alias("what"), "source", "target", "type", F.lit(None).cast("string").alias("label"))
+        inner.select("query_id", F.lit("edge").alias("what"), "source", "target", "type", F.when(F.col("forward"), "forward").otherwise("backward").alias("label"))
         .unionByName(
             local.join(info, "node").select(
                 "query_id", F.lit("node").alias("what"), F.col("node").alias("source"), F.col("status").alias("target"), "type", "label"
@@ -214,10 +233,10 @@ def traverse(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: in
         near: dict[str, list[tuple]] = {}
         for r in pdf[pdf.what == "edge"].itertuples():
             w = EDGE_WEIGHTS[r.type]
-            near.setdefault(r.source, []).append((r.target, w, r.type, r.source, r.target))
-            near.setdefault(r.target, []).append((r.source, w * REVERSE_FACTOR, r.type, r.source, r.target))
+            ends = (r.source, r.target) if r.label == "forward" else (r.target, r.source)
+            near.setdefault(r.source, []).append((r.target, w if r.label == "forward" else w * REVERSE_FACTOR, r.type, *ends))
         for v in near.values():
-            v.sort(key=lambda e: (TYPE_PRIORITY.get(info[e[0]][0], 10), e[0], e[2]))
+            v.sort(key=lambda e: (-EDGE_WEIGHTS[e[2]], TYPE_PRIORITY.get(info[e[0]][0], 10), info[e[0]][1] or "", e[0], e[2]))
         heap, seq, done, out = [], 0, set(), []
         for s in sorted(set(pdf[pdf.what == "seed"].source)):
             heapq.heappush(heap, (-1.0, seq, s, 0, None))

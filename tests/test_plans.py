@@ -220,3 +220,18 @@ def test_singletons_join_strongest(spark):
     weights = spark.createDataFrame([("b/1", "c/1", 2), ("a/1", "c/1", 1)], "a string, b string, weight long")
     got = {r.path: r.scope for r in derive.merge_singletons(groups, weights).collect()}
     assert got["c/1"] == "b" and got["d/1"] == "d"
+
+
+def test_traverse_large_hub(spark):
+    """A hub with more equal neighbours than any fixed neighbourhood holds: records with late ids come first."""
+    from evidgraph.operators import graph
+
+    nodes = [("hub", "File", "hub", None)] + [(f"a{i:04d}", "Symbol", f"a{i:04d}", None) for i in range(1500)]
+    nodes += [(f"z{i}", "Decision", f"z{9 - i}", None) for i in range(5)]
+    edges = [("hub", n[0], "CONTAINS") for n in nodes[1:]]
+    got = graph.traverse(
+        spark.createDataFrame(edges, "source string, target string, type string"),
+        spark.createDataFrame(nodes, "id string, type string, label string, data string"),
+        spark.createDataFrame([(1, "hub")], "query_id int, id string"), max_items=8,
+    ).collect()
+    assert {r.node for r in got} == {"hub", "z0", "z1", "z2", "z3", "z4", "a0000", "a0001"}
