@@ -1,15 +1,16 @@
 """Main text of web pages by a recurrent block labeller.
 
 A bidirectional LSTM in numpy reads the leaf blocks of a page in order. A
-block is a hashed bag of its tag path, a hashed bag of its words and a few
-shape figures; both directions give every decision the whole page as context.
+block is hashed bags of the tags and of the class, id and role words of all
+open elements, a hashed bag of all its words and a few shape figures; both directions give every decision the whole page as context.
 The network is trained here, on pages made from templates: articles in many
 kinds of wrappers among menus, headers, notices, adverts, sidebars, forms,
-comments and footers. The number of pages and passes is a parameter.
+comments and footers, some of them deep and full of classes. The number of pages and passes is a parameter.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import read
 from .html_blocks import Block, read_blocks
 
-PATH_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 96, 24, 6, 20
-DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
+TAG_DIM, CLASS_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 64, 192, 24, 6, 20
+DIM = TAG_DIM + CLASS_DIM + WORD_DIM + SHAPE_DIM
+_BAGS = (slice(0, TAG_DIM), slice(TAG_DIM, TAG_DIM + CLASS_DIM), slice(TAG_DIM + CLASS_DIM, DIM - SHAPE_DIM))
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:
@@ -32,18 +34,19 @@ def block_features(blocks: list[Block]) -> np.ndarray:
     total = max(len(blocks), 1)
     for i, b in enumerate(blocks):
         row = out[i]
-        for depth, w in enumerate(b.path[-12:]):
+        for w in b.path:
             h = zlib.crc32(w.encode())
-            row[h % PATH_DIM] += 1.0 if (h >> 16) & 1 else -1.0
-        for w in b.text[:400].lower().split():
+            at = TAG_DIM + h % CLASS_DIM if "." in w else h % TAG_DIM
+            row[at] += 1.0 if (h >> 16) & 1 else -1.0
+        for w in b.text.lower().split():
             h = zlib.crc32(w.encode(errors="replace"))
-            row[PATH_DIM + h % WORD_DIM] += 0.1 if (h >> 16) & 1 else -0.1
+            row[TAG_DIM + CLASS_DIM + h % WORD_DIM] += 0.03 if (h >> 16) & 1 else -0.03
         n = len(b.text)
-        row[PATH_DIM + WORD_DIM :] = (
+        row[DIM - SHAPE_DIM :] = (
             np.log1p(n) / 6, b.link_chars / n, i / total, len(b.path) / 10, b.text.count(".") * 20 / (n + 20), 1.0
         )
-    row_norm = np.sqrt(np.abs(out[:, PATH_DIM : PATH_DIM + WORD_DIM]).sum(1, keepdims=True) + 0.1)
-    out[:, PATH_DIM : PATH_DIM + WORD_DIM] /= row_norm
+    for bag in _BAGS:
+        out[:, bag] /= np.sqrt(np.abs(out[:, bag]).sum(1, keepdims=True) + 0.1)
     return out
 
 
@@ -166,6 +169,7 @@ _SIDE = ("aside", 'div class="sidebar"', 'div class="related"', 'div id="sidebar
 _NOTICE = ('div class="cookie-banner"', 'div class="notice"', 'div id="cookie-consent"', 'div role="alert"', 'div class="subscribe popup"', 'div class="newsletter"')
 _ADVERT = ('div class="ad"', 'div class="advert"', 'div id="ads"', 'div class="sponsored promo"', 'aside class="ad banner"')
 _COMMENTS = ('div class="comments"', 'section id="comments"', 'ol class="comment-list"', 'div class="discussion comments"', 'div id="disqus-thread"')
+_UTILITY = "flex grid block p m px py mt mb mx text bg rounded shadow border w full h auto items center justify between gap col row md lg sm font bold leading tight space hover dark gray relative z top max min".split()
 _MAIN = ("article", "main", 'div class="content"', 'div id="main-content"', 'div class="post"', 'div class="article-body"', 'section class="story"', 'article class="post entry"', 'main id="content"', 'div class="entry-content"', 'td class="body"', 'div role="main"')
 
 
@@ -184,6 +188,22 @@ def _wrap(kind: str, inner: str) -> str:
     return f"<{kind}>{inner}</{kind.split()[0]}>"
 
 
+def _classes(rng, low: int, high: int) -> str:
+    return " ".join(str(x) for x in rng.choice(_UTILITY, int(rng.integers(low, high + 1))))
+
+
+def _deepen(rng, page: str) -> str:
+    """The page with utility classes on plain tags and its sections' insides in
+    nested divs, as page builders write them."""
+    low, high = int(rng.integers(1, 5)), int(rng.integers(5, 14))
+    page = re.sub(r"<(p|div|ul|li|h[1-3])>", lambda m: f'<{m[1]} class="{_classes(rng, low, high)}">', page)
+    layers = int(rng.integers(0, 5))
+    opened = "".join(f'<div class="{_classes(rng, low, high)}">' for _ in range(layers))
+    sections = r"nav|header|footer|aside|article|main|section"
+    page = re.sub(rf"<({sections})( [^>]*)?>", lambda m: m[0] + opened, page)
+    return re.sub(rf"</({sections})>", lambda m: "</div>" * layers + m[0], page)
+
+
 def _links(rng) -> str:
     items = [f'<a href="/x">{_words(rng, 1, 3)}</a>' for _ in range(int(rng.integers(2, 9)))]
     return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if rng.random() < 0.8 else "".join(f"<div>{x}</div>" for x in items)
@@ -197,7 +217,8 @@ def _aside(rng, kinds: tuple[str, ...]) -> str:
     return _wrap(kind, " ".join(parts))
 
 
-def template_page(rng) -> str:
+def template_page(rng, deep: bool | None = None) -> str:
+    """A page; ``deep`` ones have many classes and nested wrappers, by chance if not told."""
     pick = lambda p: rng.random() < p
     body = []
     if pick(0.6):
@@ -247,15 +268,17 @@ def template_page(rng) -> str:
         foot = f"&copy; {_words(rng, 1, 3)} &middot; " + " ".join(_sentence(rng, 2, 14) for _ in range(int(rng.integers(1, 4))))
         body.append(_wrap(str(rng.choice(_FOOTER)) if pick(0.5) else "footer", foot if pick(0.6) else f"<p>{foot}</p>{_links(rng)}"))
     inner = "".join(body)
+    if deep if deep is not None else pick(0.35):
+        inner = _deepen(rng, inner)
     page = f"<!DOCTYPE html><html><head><title>{_words(rng, 2, 6)}</title></head><body>{inner if pick(0.6) else _wrap('div class=\"wrapper container page\"', inner)}</body></html>"
     return page[: int(len(page) * rng.uniform(0.5, 1))] if pick(0.1) else page
 
 
-def template_set(pages: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def template_set(pages: int, seed: int, deep: bool | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     rng = np.random.default_rng(seed)
     xs, ys = [], []
     while len(xs) < pages:
-        blocks = read_blocks(template_page(rng))
+        blocks = read_blocks(template_page(rng, deep))
         if not blocks:
             continue
         ys.append(np.array([_MARK in b.text for b in blocks], float))
@@ -265,8 +288,10 @@ def template_set(pages: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarr
 
 @lru_cache(maxsize=4)
 def trained(pages: int = 1200, passes: int = 6, seed: int = 5) -> Labeller:
+    """The labeller after ``passes`` over ``pages`` shallow and as many deep templates."""
     model = Labeller(seed)
-    model.train(*template_set(pages, seed), passes=passes)
+    shallow, deep = template_set(pages, seed, False), template_set(pages, seed + 1, True)
+    model.train(shallow[0] + deep[0], shallow[1] + deep[1], passes=passes)
     return model
 
 

@@ -324,3 +324,19 @@ def test_extract(spark):
     got = {r.page_id: r for r in html_extract.extract_pages(pages, 300, 4).collect()}
     assert got[1].text == "Title of it\nFirst one.\nSecond one is longer." and got[1].n_chars == len(got[1].text)
     assert got[2].text == "" and got[None].n_chars == 0
+
+
+def test_labeller_reads_whole_blocks():
+    """Ancestors behind many class words and words behind 400 characters are seen."""
+    many = " ".join("abcdefghijklmnopqrstuvwxyz")
+    a, b = (read_blocks(f'<{x}><div class="{many}"><p>text</p></div></{x}>') for x in ("nav", "article"))
+    assert (html_extract.block_features(a) != html_extract.block_features(b)).any()
+    a, b = (read_blocks(f"<p>{'word ' * 100}{x}</p>") for x in ("login", "songs"))
+    assert (html_extract.block_features(a) != html_extract.block_features(b)).any()
+
+
+def test_extract_deep_pages():
+    model = html_extract.trained(300, 4)
+    xs, ys = html_extract.template_set(60, 99, True)
+    right = sum(((s > 0.5) == (y > 0.5)).sum() for s, y in zip(model.scores(xs), ys, strict=True))
+    assert right / sum(map(len, ys)) > 0.96
