@@ -8,11 +8,16 @@ with similarity s meets in some table with probability
 (1 - (1 - s^rows)^tables)^2: 0.996 at 0.8, over 0.99999 at 0.9.
 
 Documents with equal shingle sets form one class from the start. In each
-table's bucket every class is compared with one representative, which then
-leaves the bucket. Buckets that still hold several components are swept again
-with 1, 2, 4 ... other representatives, until each bucket holds one component:
-no two classes that met and that their sizes admit stay uncompared, unless
-links join them already. Each candidate is confirmed on the full shingle sets.
+table's bucket every class is compared with one representative, on the full
+shingle sets. Buckets that then still hold several components are compared
+through: dealt out in blocks, every pair of two components that meets there, at
+the first table the two share, is compared inside the task that holds both
+blocks, and only links that join two components leave it. So no two classes
+that met and that their sizes admit stay uncompared, unless links join them
+already, and no pairs are ever written out. Sets of up to ``SKETCH`` shingles
+are compared there in full; of longer ones the least ``SKETCH`` hashes tell the
+similarity to within 0.01, and pairs within ``SLACK`` of the threshold go to
+the confirmation on full sets.
 """
 
 from __future__ import annotations
@@ -22,15 +27,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, settle
+from .common import discard, read, settle
 from .components import components
 
 _GOLDEN = 0x9E3779B97F4A7C15
-#: Representatives of a bucket in one sweep; sweeps follow until none is left.
-_MOST_REPRESENTATIVES = 512
+#: Hashes of a shingle set that travel with it, the least ones of longer sets.
+SKETCH = 2048
+#: How far the similarity that the least hashes show may be below the threshold
+#: for the full sets to be compared: over 5 standard deviations.
+SLACK = 0.05
+#: Sets up to this size are compared as Python sets, larger ones as sorted arrays.
+_SMALL = 512
+#: Classes of a bucket in a block; two blocks meet in one task.
+BLOCK = 512
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,6 +132,127 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.filter(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("u", "v").distinct()
 
 
+_PAIRS = "u long, v long, sure boolean"
+
+
+def _through(tables: int, percent: int):
+    """Compares the classes of each block pair (key, lo, hi), whose rows follow
+    one another, and yields links that join two components: ``sure`` ones as
+    found on whole sets, others to be confirmed."""
+
+    def block(rows: list[tuple]) -> list[tuple[int, int, bool]]:
+        node, n, own = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 6))
+        halves = np.array([r[7] for r in rows], np.int64)
+        a, b = halves[:, :tables], halves[:, tables:]
+        key, alone = rows[0][0], rows[0][1] == rows[0][2]
+        sets = [r[8] if len(r[8]) > _SMALL else frozenset(r[8].tolist()) for r in rows]
+        root = {r[5]: r[5] for r in rows}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        label = [r[5] for r in rows]
+        comps = np.array(label, np.int64)
+        out = []
+        for i in range(len(rows) - 1):
+            js = np.arange(i + 1, len(rows))
+            js = js[(comps[js] != comps[i]) & (100 * np.minimum(n[i], n[js]) >= percent * np.maximum(n[i], n[js]))]
+            if not alone:
+                js = js[own[js] != own[i]]
+            if not len(js):
+                continue
+            same_a, same_b = a[js] == a[i], b[js] == b[i]
+            here = (a[i][same_a.argmax(1)] == rows[i][9]) & (b[i][same_b.argmax(1)] == rows[i][10])
+            for j in js[here].tolist():
+                p, q = find(label[i]), find(label[j])
+                if p == q:
+                    continue
+                sure, near = _alike(sets[i], sets[j], int(n[i]), int(n[j]), percent)
+                if near:
+                    out.append((min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j])), sure))
+                    if sure:
+                        root[p] = q
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        links: list[tuple[int, int, bool]] = []
+        for batch in batches:
+            least = batch.column(8)
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 6)]
+            halves = batch.column(7)
+            halves = halves.flatten().to_numpy().reshape(len(halves), -1)
+            ab = [batch.column(i).to_pylist() for i in (9, 10)]
+            for k in range(batch.num_rows):
+                row = (*(c[k] for c in columns), halves[k], least[k].values.to_numpy(), ab[0][k], ab[1][k])
+                if rows and row[:3] != rows[0][:3]:
+                    links += block(rows)
+                    rows = []
+                rows.append(row)
+            if len(links) >= 4096:
+                yield _pair_batch(links)
+                links = []
+        if rows:
+            links += block(rows)
+        if links:
+            yield _pair_batch(links)
+
+    return run
+
+
+def _pair_batch(links: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    u, v, sure = zip(*links, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sure)], ["u", "v", "sure"])
+
+
+def _alike(x: np.ndarray | frozenset, y: np.ndarray | frozenset, n: int, m: int, percent: int) -> tuple[bool, bool]:
+    """(whether it is certain, whether the sets may overlap by ``percent``),
+    from their least ``SKETCH`` hashes in ascending unsigned order."""
+    if len(x) == n and len(y) == m:
+        both_small = isinstance(x, frozenset) and isinstance(y, frozenset)
+        i = len(x & y) if both_small else len(np.intersect1d(_array(x), _array(y), assume_unique=True))
+        return True, 100 * i >= percent * (n + m - i)
+    x, y = _array(x).view(np.uint64), _array(y).view(np.uint64)
+    both = np.union1d(x, y)[:SKETCH]
+    shared = np.intersect1d(x, y, assume_unique=True)
+    return False, int((shared <= both[-1]).sum()) >= (percent / 100 - SLACK) * len(both)
+
+
+def _array(x: np.ndarray | frozenset) -> np.ndarray:
+    return np.fromiter(x, np.int64, len(x)) if isinstance(x, frozenset) else x
+
+
+def _compared_through(
+    keys: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame, tables: int, percent: int
+) -> DataFrame:
+    """Links (u, v) that join components of ``found`` inside the buckets of ``keys``."""
+    member = settle(keys.join(found, "node", "left").select("key", "a", "b", "node", "n", F.coalesce("component", "node").alias("c")), "members")
+    crowd = (
+        member.groupBy("key").agg(F.min("c").alias("lo_c"), F.max("c").alias("hi_c"), F.count(F.lit(1)).alias("m"))
+        .filter("lo_c <> hi_c").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    )
+    mixed = settle(member.join(crowd, "key"), "mixed")
+    discard(member)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    halves = classes.select("node", "halves")
+    sketch = sets.select("node", F.slice("s", 1, SKETCH).alias("s"))
+    placed = (
+        mixed.join(halves, "node").join(sketch, "node").withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+            "node", "n", "c", "own", "halves", "s", "a", "b",
+        )
+    )
+    dealt = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    links = settle(dealt.mapInArrow(_through(tables, percent), _PAIRS), "through")
+    open_ = settle(links.filter("NOT sure").select("u", "v").distinct(), "unsure")
+    return settle(links.filter("sure").select("u", "v").union(_links(open_, sets, percent)).distinct(), "more-links")
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, tables: int = 12, rows: int = 4
 ) -> DataFrame:
@@ -153,7 +286,7 @@ def near_duplicates(
     keys = settle(
         kept.select("node", "n", F.explode("a").alias("a"), "b")
         .select("node", "n", F.explode("b").alias("b"), "a")
-        .select(F.xxhash64("a", "b").alias("key"), "node", "n"),
+        .select(F.xxhash64("a", "b").alias("key"), "a", "b", "node", "n"),
         "keys",
     )
     fits = (F.least("n", "rn") * 100 >= F.greatest("n", "rn") * percent)
@@ -178,41 +311,10 @@ def near_duplicates(
     texts = base.join(nodes.hint("merge"), base["doc_id"] == nodes["node"]).select("node", "text")
     sets = settle(texts.mapInArrow(_sets(width), "node long, s array<long>"), "sets")
     links = settle(_links(pairs, sets, percent), "links")
-    tested = [pairs]
-    found = components(links)
-    # the first representative of a bucket has met all of it and leaves it
-    keys = keys.join(reps.select("key", F.col("rep").alias("node")), ["key", "node"], "left_anti")
-    width_of_sweep = 1
-    while True:
-        member = settle(
-            keys.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")), "members"
-        )
-        mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        member = settle(member.join(mixed, "key"), "mixed")
-        if member.isEmpty():
-            break
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
-        chosen = settle(
-            member.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= width_of_sweep)
-            .select("key", F.col("node").alias("rep"), F.col("n").alias("rn"), F.col("c").alias("rc")),
-            "chosen",
-        )
-        fresh = (
-            member.join(chosen, "key").filter((F.col("c") != F.col("rc")) & fits)
-            .select(F.least("rep", "node").alias("u"), F.greatest("rep", "node").alias("v")).distinct()
-        )
-        for old in tested:
-            fresh = fresh.join(old, ["u", "v"], "left_anti")
-        fresh = settle(fresh, "fresh")
-        tested.append(fresh)
-        more = settle(_links(fresh, sets, percent), "more-links")
-        if not more.isEmpty():
-            links = settle(links.union(more), "links")
-            found = components(links)
-        keys = member.select("key", "node", "n").join(
-            chosen.select("key", F.col("rep").alias("node")), ["key", "node"], "left_anti"
-        )
-        width_of_sweep = min(2 * width_of_sweep, _MOST_REPRESENTATIVES)
+    found = settle(components(links), "components")
+    more = _compared_through(keys, found, classes, sets, tables, percent)
+    if not more.isEmpty():
+        found = settle(components(links.union(more)), "components")
     named = settle(
         classes.select("k1", "k2", "node").join(found, "node", "left")
         .select("k1", "k2", F.coalesce("component", "node").alias("component")),

@@ -85,6 +85,36 @@ def test_near_duplicates_family(spark):
     assert got == want
 
 
+def test_near_duplicates_blocks(spark, monkeypatch):
+    """A bucket of many blocks links what one block links; chains of variants too."""
+    monkeypatch.setattr(near_dup, "BLOCK", 5)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for v in range(90):
+        at = rng.randrange(0, 118)
+        words = words[:at] + [f"v{v}"] + words[at + 1 :] if v % 9 else [f"x{v}"] * 3 + words[:100]
+        texts.append(" ".join(words))
+    want = brute.near_groups(list(enumerate(texts)), 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, width=2).collect()} == want
+
+
+def test_least_hashes_of_long_sets():
+    """Long sets: no pair at the threshold is lost, distant ones are not confirmed."""
+    rng = np.random.default_rng(2)
+    for share, may in ((0.9, True), (0.62, False)):
+        pool = np.unique(rng.integers(0, 2**64, 9000, dtype=np.uint64))
+        step = int(6000 * (1 - share) / (1 + share))
+        x, y = pool[rng.permutation(len(pool))[:6000]], None
+        y = np.concatenate([x[step:], np.setdiff1d(pool, x)[:step]])
+        x, y = np.sort(x), np.sort(y)
+        n, m = len(x), len(y)
+        cut = [s[: near_dup.SKETCH].view(np.int64) for s in (x, y)]
+        assert near_dup._alike(*cut, n, m, 80) == (False, may)
+        assert near_dup._alike(x[:300].view(np.int64), x[:300].view(np.int64), 300, 300, 80) == (True, True)
+
+
 def test_near_duplicates_odd(empty, odd):
     assert near_dup.near_duplicates(empty).count() == 0
     rows = near_dup.near_duplicates(odd).collect()
