@@ -26,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _fallback is None:
         _fallback = "file://" + tempfile.mkdtemp(prefix="evidgraph-")
     return _fallback
@@ -56,6 +58,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove settled tables that nothing reads any more, and let the driver
     drop the shuffle files of finished queries."""

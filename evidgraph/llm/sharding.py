@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import free_names, read
 
 # Fixed values of the published jump hash: the multiplier 2862933555777941757
 # in two 32-bit halves, the increment 1 and the 31-bit scale.
@@ -22,28 +22,36 @@ _SCALE = 2147483648.0
 ADDED = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``value`` evaluated once and called ``name``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _advance(k: str) -> str:
     """SQL for ``k * multiplier + 1`` modulo 2^64 without leaving a long's range."""
     limb = lambda i: f"(shiftrightunsigned({k}, {16 * i}) & 65535L)"
-    t0 = f"({limb(0)} * {_MUL_LOW}L + 1L)"
-    t1 = f"({limb(1)} * {_MUL_LOW}L + shiftright({t0}, 16))"
-    low = f"(({t0} & 65535L) | shiftleft({t1} & 65535L, 16))"
     high = (
-        f"((shiftright({t1}, 16) + {limb(2)} * {_MUL_LOW}L"
+        f"((shiftright(t1, 16) + {limb(2)} * {_MUL_LOW}L"
         f" + shiftleft(({limb(3)} * {_MUL_LOW}L) & 65535L, 16)"
         f" + ({k} & 4294967295L) * {_MUL_HIGH}L) & 4294967295L)"
     )
-    return f"(shiftleft({high}, 32) | {low})"
+    whole = f"(shiftleft({high}, 32) | (t0 & 65535L) | shiftleft(t1 & 65535L, 16))"
+    inner = _let("t1", f"{limb(1)} * {_MUL_LOW}L + shiftright(t0, 16)", whole)
+    return _let("t0", f"{limb(0)} * {_MUL_LOW}L + 1L", inner)
 
 
 def jump_hash(key: str, n: int) -> Column:
-    """struct(s, b): the shard of a long column among ``n`` and among ``n + 1``."""
-    j = f"cast(floor((a.b + 1) * ({_SCALE}D / (shiftrightunsigned(a.k, 33) + 1L))) AS BIGINT)"
-    start = f"named_struct('k', {_advance(key)}, 'b', 0L, 's', 0L)"
-    step = (
-        f"if({j} > {n}L, a, named_struct('k', {_advance('a.k')}, 'b', {j},"
-        f" 's', if({j} < {n}L, {j}, a.s)))"
+    """struct(s, b): the shard of a long column among ``n`` and among ``n + 1``.
+
+    A state past the last shard stays as it is, so its key is never advanced
+    again; each step evaluates the multiplication and the jump once."""
+    jump = f"cast(floor((a.b + 1) * ({_SCALE}D / (shiftrightunsigned(a.k, 33) + 1L))) AS BIGINT)"
+    start = f"named_struct('k', {_advance(key)}, 'b', 0L, 's', 0L, 'done', false)"
+    moved = (
+        f"if(j > {n}L, named_struct('k', a.k, 'b', a.b, 's', a.s, 'done', true),"
+        f" named_struct('k', {_advance('a.k')}, 'b', j, 's', if(j < {n}L, j, a.s), 'done', false))"
     )
+    step = f"if(a.done, a, {_let('j', jump, moved)})"
     return F.expr(f"aggregate(sequence(1, {n}), {start}, (a, i) -> {step})")
 
 
@@ -57,28 +65,30 @@ def shard(docs: DataFrame, n: int = 40) -> DataFrame:
     consecutive slots in any order. Columns of ``docs`` with one of these
     names are replaced.
     """
+    key, h, j, b, off = free_names(docs, "key", "digest", "jump", "bucket", "offset")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(
         *[c for c in docs.columns if c not in ADDED],
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("__key"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("__h"),
-    ).withColumn("__j", jump_hash("__key", n))
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias(key),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias(h),
+    ).withColumn(j, jump_hash(f"`{key}`", n))
     base = base.select(
-        *[c for c in base.columns if c not in ("__j", "__key")],
-        F.col("__j.s").cast("int").alias("shard"),
-        F.col("__j.b").cast("int").alias("grown_shard"),
-        F.substring("__h", 1, 3).alias("__b"),
+        *[c for c in base.columns if c not in (j, key)],
+        # never null, so that no filter of a join evaluates the jump again
+        F.coalesce(F.col(f"{j}.s").cast("int"), F.lit(0)).alias("shard"),
+        F.col(f"{j}.b").cast("int").alias("grown_shard"),
+        F.coalesce(F.substring(h, 1, 3), F.lit("")).alias(b),
     )
-    counts = base.groupBy("shard", "__b").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__off"))
-    inside = Window.partitionBy("shard", "__b").orderBy("__h", F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
+    counts = base.groupBy("shard", b).agg(F.count(F.lit(1)).alias(off))
+    before = Window.partitionBy("shard").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", b, F.coalesce(F.sum(off).over(before), F.lit(0)).alias(off))
+    inside = Window.partitionBy("shard", b).orderBy(h, F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
     return (
-        base.join(offsets, ["shard", "__b"])
-        .withColumn("slot", (F.col("__off") + F.row_number().over(inside) - 1).cast("long"))
+        base.join(offsets, ["shard", b])
+        .withColumn("slot", (F.col(off) + F.row_number().over(inside) - 1).cast("long"))
         .select(*[c for c in docs.columns if c not in ADDED], *ADDED)
     )
 
