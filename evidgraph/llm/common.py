@@ -58,6 +58,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settled_bytes(df: DataFrame) -> int:
+    """Bytes on disk of a settled table."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of ``df`` has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -4,8 +4,10 @@ DataFrame functions only. A first pass counts the benchmark's terms in the
 corpus. Each window of an item is then looked up by its rarest terms alone: a
 second pass stores their postings (term, document, position); positions less
 the term's offset in the item meet on the same diagonal where all rare terms
-of a window agree. Only those diagonals are compared word by word with the
-document. Terms are indexed by a 64-bit hash; the comparison is exact.
+of a window agree. On those diagonals the item's words meet the document's in
+an exact join on (document, position, word), so no task holds more than one
+text and a text's repeats cost what they are long. Terms are indexed by a 64-bit
+hash; the comparison is exact.
 """
 
 from __future__ import annotations
@@ -13,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, read, settle
+from .common import lower_ascii, read, settle, settled_bytes
 
 #: Everything that cannot be part of a word once A-Z are lower-cased.
 _GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: A benchmark side is broadcast only below this many rows, counted first.
-BROADCAST_ROWS = 200_000
+#: A settled benchmark side is broadcast only below this size on disk, as measured.
+BROADCAST_BYTES = 8 << 20
 
 
 def _tokens(text: Column) -> Column:
@@ -38,7 +40,7 @@ def words(text: Column) -> Column:
 
 def _bounded(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint if it is small; ``df`` must be settled."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if settled_bytes(df) <= BROADCAST_BYTES else df
 
 
 def items_table(benchmark: DataFrame) -> DataFrame:
@@ -78,8 +80,8 @@ def rare_offsets(items: DataFrame, counts: DataFrame, width: int, rarest: int) -
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, rarest: int = 2) -> DataFrame:
-    """(doc_id, th, item_id, positions): the word positions (from 0, a leading
-    gap counting as one) covered by occurrences of the item's windows.
+    """(doc_id, th, item_id, start, end): word positions (from 0, a leading gap
+    counting as one; end exclusive) of the occurrences of the items' windows.
 
     A window is ``width`` consecutive item words; a shorter item is one
     window. Repeated rows of either table are matched once.
@@ -101,23 +103,27 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, rares
         .agg(F.collect_set("j").alias("at"))
         .join(_bounded(windows), "item")
         .filter(F.exists("windows", lambda w: F.forall(w, lambda j: F.array_contains(F.col("at"), j))))
-        .groupBy("doc_id", "th").agg(F.collect_set(F.struct("item", "diag")).alias("met"))
+        .select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "item", "diag")
     )
-    met = settle(met, "candidates").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "met")
-    near = _documents(docs).join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    near = near.select("doc_id", "th", _tokens(F.col("text")).alias("tokens"), F.explode("met").alias("m")).select(
-        "doc_id", "th", "tokens", "m.item", "m.diag"
+    met = settle(met, "candidates")
+    where = settle(met.select("d", "t").distinct(), "candidate-documents")
+    texts = _documents(docs).join(where, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi")
+    there = texts.select("doc_id", "th", F.posexplode(_tokens(F.col("text"))).alias("pos", "w"))
+    due = met.join(_bounded(items), "item").select("d", "t", "item", "item_id", "n", "diag", F.posexplode("words").alias("k", "word"))
+    same = there.join(
+        due,
+        F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+        & (F.col("pos") == F.col("diag") + F.col("k")) & (F.col("w") == F.col("word")),
     )
-    same = F.transform(F.col("words"), lambda w, i: F.get("tokens", F.col("diag") + i).eqNullSafe(w))
-    checked = near.join(_bounded(items), "item").select("doc_id", "th", "item_id", "n", "diag", same.alias("same"))
+    # as many offsets at most as the item has words
+    agreed = same.groupBy("doc_id", "th", "item", "item_id", "n", "diag").agg(F.array_sort(F.collect_set("k")).alias("ks"))
     span = F.least("n", F.lit(width))
-    starts = F.filter(
-        F.sequence(F.lit(0), F.col("n") - span),
-        lambda s: F.forall(F.slice("same", s + 1, span), lambda x: x),
+    runs = F.filter(
+        F.sequence(F.lit(0), F.size("ks") - span), lambda i: F.get("ks", i + span - 1) == F.get("ks", i) + span - 1
     )
-    hits = checked.select("doc_id", "th", "item_id", F.col("diag").alias("g"), span.alias("span"), starts.alias("starts"))
-    covered = F.flatten(F.transform("starts", lambda s: F.sequence(F.col("g") + s, F.col("g") + s + F.col("span") - 1)))
-    return hits.filter(F.size("starts") > 0).select("doc_id", "th", "item_id", F.array_distinct(covered).alias("positions"))
+    starts = agreed.filter(F.size("ks") >= span).select("doc_id", "th", "item_id", "ks", "diag", span.alias("span"), F.explode(runs).alias("i"))
+    start = F.col("diag") + F.get("ks", F.col("i"))
+    return starts.select("doc_id", "th", "item_id", start.alias("start"), (start + F.col("span")).alias("end")).distinct()
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 30) -> DataFrame:
@@ -158,14 +164,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, rarest
     result. An item without item_id marks words but is neither counted nor
     listed. ``th`` is ``xxhash64(text)``. An empty benchmark hits nothing.
     """
+    matches = settle(phrase_matches(docs, benchmark, width, rarest), "matches")
+    before = Window.partitionBy("doc_id", "th").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest("start", F.coalesce(F.max("end").over(before), F.col("start")))
+    covered = matches.select("doc_id", "th", "start", "end").distinct().withColumn("new", F.greatest(F.col("end") - reached, F.lit(0)))
     hits = (
-        phrase_matches(docs, benchmark, width, rarest).groupBy("doc_id", "th")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("n_hit"),
-            F.array_sort(F.collect_set("item_id")).alias("items"),
+        covered.groupBy("doc_id", "th").agg(F.sum("new").alias("n_hit"))
+        .join(
+            matches.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.array_sort(F.collect_set("item_id")).alias("items")),
+            F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")),
         )
+        .select("d", "t", "n_hit", "items")
     )
-    hits = settle(hits, "hits").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "n_hit", "items")
+    hits = settle(hits, "hits")
     tokens = _tokens(F.col("text"))
     sized = _documents(docs).select("doc_id", "th", tokens.alias("tokens")).select(
         "doc_id", "th", _n_words(F.col("tokens")).cast("long").alias("n_words")

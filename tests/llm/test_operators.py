@@ -257,6 +257,15 @@ def test_decontaminate(docs, texts, items, empty, odd):
     assert not any(r.contaminated for r in decontam.contamination(docs, items.limit(0)).collect())
 
 
+def test_decontaminate_long_repeats(spark):
+    """200,000 equal words against an item of ten of them."""
+    texts = ["a " * 200_000, "b " + "a " * 9 + "b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([("x", "a " * 10), ("y", "")], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontam.contamination(docs, items).collect()}
+    assert got == {0: (200_000, 200_000, 1), 1: (11, 0, 0), 2: (0, 0, 0)}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "far " * 20 + "red x x green y blue"), (2, "red " + "x " * 60 + "green blue"), (3, None)], "doc_id long, text string")
     item = spark.createDataFrame([(1, "blue red green")], "item_id long, text string")
