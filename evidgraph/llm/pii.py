@@ -1,18 +1,24 @@
 """Personal data: base patterns and bootstrapped contextual extraction.
 
-DataFrame functions only. The base patterns give the seed entities. Words
-before and after an entity form lexical patterns (left word, right word,
-shape); patterns and the instances they meet make a bipartite graph whose two
-sides score each other for a few rounds. Patterns of high confidence then
-find identifiers that no base pattern knows.
+DataFrame functions only. The base patterns, and published formats of keys,
+give the seed entities. Words before and after an entity form lexical patterns
+(left word, right word, both; a mark such as = or : belongs to the word before
+it). Patterns that meet several seeds, and whose words stand seldom elsewhere,
+are screened by counts over all documents; whatever fills them, of any form,
+makes a bipartite graph with them whose two sides score each other for a few
+rounds. Patterns of high confidence then add identifiers that no base pattern
+knows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, settle
+from .common import read, settle, settled_bytes
+
+#: A settled table is broadcast only below this size on disk, as measured.
+BROADCAST_BYTES = 8 << 20
 
 # Fixed values of the contract: the base patterns, in listed order. The email
 # pattern may start only where a run starts or the last match ended, and its
@@ -23,6 +29,19 @@ _IP = r"[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
+#: A kind of its own for the method: seeds are published key id formats and long
+#: runs that mix letters and digits.
+SECRET = "secret"
+_SECRET = (
+    r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}"
+    r"|(?=[A-Za-z]{0,64}[0-9])(?=[0-9]{0,64}[A-Za-z])[A-Za-z0-9]{16,256}+)(?![A-Za-z0-9])"
+)
+ALL_KINDS = (*KINDS, SECRET)
+#: Code points of a gap in which a context word is looked for.
+REACH = 60
+_ENTITY = "struct<k:int,kind:string,s:int,e:int,v:string,left:string,right:string>"
+# A context word, and the marks that join a name to its value.
+_NAME = r"""[^\s"'<>\[\](),;=:#]"""
 
 
 def luhn(digits: Column) -> Column:
@@ -60,38 +79,65 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: str, pattern: str) -> Column:
-    """array<struct<k, kind, s, e, v>>: the valid leftmost non-overlapping
-    matches with code point positions, from the gaps between them."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        value = F.get(found, i)
-        s = acc["at"] + F.char_length(F.get(gaps, i))
-        e = s + F.char_length(value)
-        return F.struct(
-            e.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), value.alias("v")))).alias("out"),
-        )
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(lengths: Column, chunk: int = 256) -> Column:
+    """Sums of the elements before each one. Chunks are summed on their own,
+    then moved by what lies before them, so arrays grow by short pieces only."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def add(acc: Column, n: Column) -> Column:
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    last = F.floor((F.size(lengths) - 1) / chunk).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.aggregate(F.slice(lengths, c * chunk + 1, F.lit(chunk)), start, add))
+
+    def join(parts: Column) -> Column:
+        bases = F.aggregate(parts, start, lambda acc, x: add(acc, x["at"]))["out"]
+        return _let(bases, lambda b: F.flatten(F.transform(parts, lambda x, i: F.transform(x["out"], lambda y: y + F.get(b, i)))))
 
-    n = F.size(found)
-    all_ = F.when(
-        n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda a: a["out"])
-    ).otherwise(empty)
-    valid = F.filter(all_, lambda x: _valid(kind, x["v"]))
-    return F.transform(
-        valid, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("k"), F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"))
+    return _let(chunks, join)
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """array<struct<s, e, v, before, after>>: the leftmost non-overlapping
+    matches with code point positions and up to REACH code points of the gaps
+    on either side, in time that grows with the text."""
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("found"), F.split(text, pattern, -1).alias("gaps")
     )
 
+    def placed(x: Column) -> Column:
+        gap = lambda i: F.get(x["gaps"], i)
+        lengths = F.transform(x["found"], lambda v, i: F.char_length(gap(i)) + F.char_length(v))
+        return _let(_running(lengths), lambda at: F.transform(x["found"], lambda v, i: F.struct(
+            (F.get(at, i) + F.char_length(gap(i))).alias("s"),
+            (F.get(at, i) + F.char_length(gap(i)) + F.char_length(v)).alias("e"),
+            v.alias("v"),
+            F.right(gap(i), F.lit(REACH)).alias("before"),
+            F.left(gap(i + 1), F.lit(REACH)).alias("after"),
+        )))
+
+    none = F.array().cast("array<struct<s:int,e:int,v:string,before:string,after:string>>")
+    return _let(parts, lambda x: F.when(F.size(x["found"]) > 0, placed(x)).otherwise(none))
+
+
+def _spans(text: Column, kind: str, pattern: str) -> Column:
+    """array<ENTITY>: the valid matches of a kind."""
+    valid = F.filter(_matches(text, pattern), lambda x: _valid(kind, x["v"]))
+    return F.transform(valid, lambda x: F.struct(
+        F.lit(ALL_KINDS.index(kind)).alias("k"), F.lit(kind).alias("kind"), *[x[c].alias(c) for c in ("s", "e", "v")],
+        _left_key(x["before"]).alias("left"), _right_key(x["after"]).alias("right"),
+    ))
+
 
 def base_spans(text: Column) -> Column:
     """The base entities of a text, by kind as listed, then by start. A kind
     is looked for only where its sign occurs (@, a digit, +)."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    none = F.array().cast("array<struct<k:int,kind:string,s:int,e:int,v:string>>")
     digit = text.rlike("[0-9]")
     part = {
         "email": (F.contains(text, F.lit("@")), _EMAIL),
@@ -99,117 +145,184 @@ def base_spans(text: Column) -> Column:
         "card": (digit, _CARD),
         "phone": (text.rlike("\\+[0-9]"), _PHONE),
     }
-    return F.concat(*[F.when(c, _spans(text, kind, p)).otherwise(none) for kind, (c, p) in part.items()])
+    return F.concat(*[F.when(c, _spans(text, kind, p)).otherwise(_none()) for kind, (c, p) in part.items()])
 
 
-#: Tokens that hold a digit; each starts where a token starts.
-_TOKEN = r"(?<![^\s])[^\s0-9]*+[0-9]\S*+"
-_REACH = 60  # characters of context read on either side
-
-
-def _context(text: Column, x: Column) -> Column:
-    """x with its neighbour words and its shape: digits 9, letters a, runs as one."""
-    before = F.substring(text, F.greatest(x["s"] - _REACH, F.lit(0)) + 1, F.least(x["s"], F.lit(_REACH)))
-    after = F.substring(text, x["e"] + 1, F.lit(_REACH))
-    left = F.lower(F.regexp_extract(before, r"([\p{L}=:#]++)[^\p{L}=:#]*$", 1))
-    right = F.lower(F.regexp_extract(after, r"^[^\p{L}=:#]*+([\p{L}=:#]++)", 1))
-    shape = F.regexp_replace(F.regexp_replace(F.lower(x["v"]), "[0-9]+", "9"), "\\p{L}+", "a")
-    return F.struct(*[x[c].alias(c) for c in ("k", "kind", "s", "e", "v")], left.alias("left"), right.alias("right"), shape.alias("shape"))
+def secret_seeds(text: Column) -> Column:
+    """array<ENTITY> of the seeds of SECRET."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    long_run = text.rlike("[A-Za-z0-9]{16}")
+    return F.when(long_run & text.rlike("[0-9]"), _spans(text, SECRET, _SECRET)).otherwise(_none())
 
 
-def _candidates(text: Column, base: Column) -> Column:
-    """Tokens with a digit that overlap no base entity, without the marks around them."""
-    none = F.array().cast("array<struct<k:int,kind:string,s:int,e:int,v:string>>")
-    raw = F.when(text.rlike("[0-9]"), _tokens(text)).otherwise(none)
-    bare = F.transform(raw, _bare)
-    free = F.filter(
-        bare, lambda x: (x["e"] > x["s"]) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    )
-    return free
+def _none() -> Column:
+    return F.array().cast(f"array<{_ENTITY}>")
 
 
-def _tokens(text: Column) -> Column:
-    return F.transform(_spans(text, "email", _TOKEN), lambda x: F.struct(
-        F.lit(len(KINDS)).alias("k"), F.lit("").alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
+def _left_key(before: Column) -> Column:
+    """The last word of a gap in lower case, with the mark that follows it."""
+    tail = rf"""({_NAME}*+)\s*+([=:#]?)[\s"'(]*$"""
+    near = F.regexp_extract(before, rf"""(?<!{_NAME}){tail}""", 0)
+    return F.lower(F.concat(F.regexp_extract(near, tail, 1), F.regexp_extract(near, tail, 2)))
 
 
-def _bare(x: Column) -> Column:
-    lead = F.char_length(F.regexp_extract(x["v"], r"^([^\p{L}0-9+(]*+)", 1))
-    core = F.regexp_extract(x["v"], r"^[^\p{L}0-9+(]*+(.*?)[^\p{L}0-9)]*$", 1)
-    s = x["s"] + lead
-    return F.struct(x["k"].alias("k"), x["kind"].alias("kind"), s.alias("s"), (s + F.char_length(core)).alias("e"), core.alias("v"))
+def _right_key(after: Column) -> Column:
+    return F.lower(F.regexp_extract(after, rf"""^[\s"')]*+({_NAME}++)""", 1))
 
 
-def _edges(found: DataFrame) -> DataFrame:
-    """(pattern, value, kind): which pattern met which instance; seeds have a kind."""
-    side = lambda tag, c: F.concat_ws("\x1f", F.lit(tag), F.col(f"x.{c}"), F.col("x.shape"))
-    seen = found.select(F.explode(F.concat("base", "free")).alias("x")).select(
-        F.explode(F.array(side("L", "left"), side("R", "right"))).alias("pattern"),
-        F.lower("x.v").alias("value"),
-        F.col("x.kind").alias("kind"),
+def _patterns(x: Column) -> Column:
+    """array<struct<pattern, word>>: the patterns an entity's contexts make, and
+    the word that each hangs on."""
+    both = (x["left"] != "") & (x["right"] != "")
+    made = F.array(
+        F.when(x["left"] != "", F.struct(F.concat(F.lit("L|"), x["left"]).alias("pattern"), x["left"].alias("word"))),
+        F.when(x["right"] != "", F.struct(F.concat(F.lit("R|"), x["right"]).alias("pattern"), x["right"].alias("word"))),
+        F.when(both, F.struct(F.concat_ws("|", F.lit("B"), x["left"], x["right"]).alias("pattern"), x["left"].alias("word"))),
     )
-    return seen.distinct()
-
-
-def bootstrap(found: DataFrame, rounds: int = 4, confidence: float = 0.7) -> DataFrame:
-    """(value, kind): identifiers that confident patterns find.
-
-    A pattern's confidence in a kind is the summed score of the instances it
-    met over their number plus one; an instance scores the mean confidence of
-    its patterns; seeds keep 1. Both sides are rescored ``rounds`` times.
+    return F.filter(made, lambda m: m.isNotNull())
+
+
+def _words(text: Column) -> Column:
+    """Words as they stand in patterns: a mark belongs to the word before it."""
+    joined = F.regexp_replace(text, r"""\s*+([=:#])[\s"'(]*+""", "$1 ")
+    return F.split(F.lower(joined), r"""[\s"'<>\[\](),;]+""")
+
+
+#: What can fill a pattern: groups of digits with single separators between
+#: them, or one word.
+_FILLER = r"""[+(]?[0-9][0-9().+-]*+(?: [0-9().-]++)+|[^\s"'<>\[\](),;=:#]++"""
+
+
+def _slots(text: Column) -> Column:
+    """array<ENTITY> of all fillers, without a kind."""
+    return F.transform(_matches(text, _FILLER), lambda x: F.struct(
+        F.lit(len(ALL_KINDS)).alias("k"), F.lit("").alias("kind"), *[x[c].alias(c) for c in ("s", "e", "v")],
+        F.lit("").alias("left"), F.lit("").alias("right"), x["before"].alias("before"), x["after"].alias("after"),
+    ))
+
+
+def _fillers(docs: DataFrame, screened: DataFrame) -> DataFrame:
+    """(doc_id, th, pattern, x): what stands in the screened patterns (pattern,
+    word), in documents that hold one of their words. Up to 200 words also make
+    a regular expression that passes over other documents unread; the join that
+    follows decides alike with and without it."""
+    some = [r.word for r in screened.select("word").distinct().limit(201).collect()]
+    if not some:
+        return docs.select("doc_id", "th", F.lit("").alias("pattern"), F.lit(None).cast("struct<s:int,e:int,v:string>").alias("x")).limit(0)
+    if len(some) <= 200:
+        docs = docs.filter(F.lower("text").rlike("|".join("\\Q" + w.rstrip("=:#").replace("\\E", "") + "\\E" for w in some)))
+
+    def in_context(x: Column) -> Column:
+        return F.transform(x, lambda y, i: F.struct(
+            y["s"].alias("s"), y["e"].alias("e"), y["v"].alias("v"),
+            # a gap holds no word, so the neighbours are the fillers beside it
+            F.when(i > 0, F.lower(F.concat(F.get(x, i - 1)["v"], F.regexp_extract(y["before"], "([=:#])", 1)))).otherwise("").alias("left"),
+            F.lower(F.coalesce(F.get(x, i + 1)["v"], F.lit(""))).alias("right"),
+        ))
+
+    slots = docs.select("doc_id", "th", F.explode(_let(_slots(F.col("text")), in_context)).alias("x"))
+    met = slots.select("doc_id", "th", "x", F.explode(_patterns(F.col("x"))).alias("p")).select("doc_id", "th", "x", "p.pattern")
+    return met.join(screened.select("pattern"), "pattern").select("doc_id", "th", "pattern", F.struct("x.s", "x.e", "x.v").alias("x"))
+
+
+def screen(found: DataFrame, docs: DataFrame, support: int = 3, share: float = 0.3) -> DataFrame:
+    """(pattern, word) worth looking at: met by at least ``support`` different
+    seeds, whose number is at least ``share`` of the occurrences of the
+    pattern's word in all documents."""
+    seen = found.select(F.explode(F.concat("base", "secret")).alias("x"))
+    seeds = (
+        seen.select(F.explode(_patterns(F.col("x"))).alias("p"), F.lower("x.v").alias("value"))
+        .groupBy("p.pattern", "p.word").agg(F.countDistinct("value").alias("n")).filter(F.col("n") >= support)
+    )
+    seeds = settle(seeds, "supported")
+    names = settle(seeds.select("word").distinct(), "context-words")
+    all_words = docs.select(F.explode(_words(F.col("text"))).alias("word"))
+    if settled_bytes(names) <= BROADCAST_BYTES:
+        names = F.broadcast(names)
+    counts = all_words.join(names, "word").groupBy("word").agg(F.count(F.lit(1)).alias("times"))
+    kept = seeds.join(counts, "word", "left").filter(F.col("n") >= share * F.coalesce("times", F.lit(0)))
+    return settle(kept.select("pattern", "word"), "screened")
+
+
+def bootstrap(edges: DataFrame, rounds: int = 4, confidence: float = 0.7) -> DataFrame:
+    """(value, kind): what confident patterns find, from ``edges`` (pattern,
+    value, kind), where seeds have a kind.
+
+    A pattern's confidence in a kind is the summed score of its values over
+    their number plus one; a value scores the best confidence among its
+    patterns; seeds keep 1. Both sides are rescored ``rounds`` times.
     """
-    edges = settle(_edges(found), "edges")
-    degree = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
-    fresh = edges.filter("kind = ''").select("pattern", "value")
-    seeds = edges.filter("kind <> ''").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("w"))
-    reach = fresh.groupBy("value").agg(F.count(F.lit(1)).alias("d"))
-    fresh = settle(fresh.join(reach, "value"), "fresh")
-    seeds = settle(seeds, "seeds")
-    degree = settle(degree, "degree")
+    edges = settle(edges.distinct(), "edges")
+    degree = settle(edges.groupBy("pattern").agg(F.countDistinct("value").alias("n")), "degree")
+    fresh = settle(edges.filter("kind = ''").select("pattern", "value"), "fresh")
+    seeds = settle(
+        edges.filter("kind <> ''").groupBy("pattern", "kind").agg(F.countDistinct("value").cast("double").alias("w")), "seeds"
+    )
     score = None
     for _ in range(rounds):
-        gained = seeds.select("pattern", "kind", F.col("w").cast("double").alias("w"))
+        gained = seeds
         if score is not None:
-            gained = gained.unionByName(fresh.join(score, "value").select("pattern", "kind", F.col("score").alias("w")))
-        trust = gained.groupBy("pattern", "kind").agg(F.sum("w").alias("w")).join(degree, "pattern").select(
-            "pattern", "kind", (F.col("w") / (F.col("n") + 1)).alias("c")
+            gained = seeds.unionByName(fresh.join(score, "value").select("pattern", "kind", F.col("score").alias("w")))
+        trust = settle(
+            gained.groupBy("pattern", "kind").agg(F.sum("w").alias("w")).join(degree, "pattern")
+            .select("pattern", "kind", (F.col("w") / (F.col("n") + 1)).alias("c")),
+            "trust",
         )
-        trust = settle(trust, "trust")
-        score = settle(
-            fresh.join(trust, "pattern").groupBy("value", "kind").agg((F.sum("c") / F.max("d")).alias("score")), "score"
-        )
-    best = score.filter(F.col("score") >= confidence).groupBy("value").agg(
-        F.max(F.struct("score", "kind")).alias("b")
-    )
-    return best.select("value", "b.kind")
+        score = settle(fresh.join(trust, "pattern").groupBy("value", "kind").agg(F.max("c").alias("score")), "score")
+    best = score.filter(F.col("score") >= confidence).groupBy("value").agg(F.max(F.struct("score", "kind")).alias("b"))
+    return best.select("value", F.col("b.kind").alias("kind"))
 
 
 def personal_data(docs: DataFrame, rounds: int = 4, confidence: float = 0.7) -> DataFrame:
     """(doc_id, th, base, added): arrays of struct<k, kind, s, e, v> for each
     input row, with code point positions, end exclusive. Null text is empty.
-    Rows alike in doc_id and text get the same result."""
+    Rows alike in doc_id and text get the same result. ``added`` are the seeds
+    of SECRET and what confident patterns find, as far as they overlap no base
+    entity, one for each place."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), text.alias("text"))
-    rows = rows.withColumn("base", F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(
-        F.array().cast("array<struct<k:int,kind:string,s:int,e:int,v:string>>")))
-    rows = rows.withColumn("free", _candidates(F.col("text"), F.col("base")))
-    both = lambda c: F.transform(c, lambda x: _context(F.col("text"), x))
-    found = settle(rows.select("doc_id", "th", both("base").alias("base"), both("free").alias("free")), "found")
-    accepted = settle(bootstrap(found, rounds, confidence), "accepted").withColumnRenamed("kind", "found_kind")
-    hits = (
-        found.select("doc_id", "th", F.explode("free").alias("x"))
-        .join(accepted, F.lower("x.v") == F.col("value"))
-        .groupBy("doc_id", "th")
-        .agg(F.collect_set(F.struct(
-            F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("found_kind")).cast("int").alias("k"),
-            F.col("found_kind").alias("kind"), F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.v").alias("v"))).alias("added"))
-        .select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.transform("added", lambda x: F.struct(
-            (x["k"] - 1).cast("int").alias("k"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"))).alias("added"))
+    read_ = rows.select(
+        "doc_id", "th",
+        F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(_none()).alias("base"),
+        secret_seeds(F.col("text")).alias("secret"),
     )
-    out = found.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
-    slim = lambda c: F.transform(c, lambda x: F.struct(*[x[n].alias(n) for n in ("k", "kind", "s", "e", "v")]))
+    found = settle(read_, "found")
+    screened = screen(found, rows)
+    filled = settle(_fillers(rows, screened).distinct(), "filled")
+    seen = found.select(F.explode(F.concat("base", "secret")).alias("x"))
+    seeds = seen.select(F.explode(_patterns(F.col("x"))).alias("p"), F.lower("x.v").alias("value"), F.col("x.kind").alias("kind")).select(
+        "p.pattern", "value", "kind").join(screened.select("pattern"), "pattern").distinct()
+    known = seeds.select("value").distinct()
+    free = filled.select("pattern", F.lower("x.v").alias("value")).distinct().join(known, "value", "left_anti").select(
+        "pattern", "value", F.lit("").alias("kind"))
+    accepted = settle(bootstrap(seeds.unionByName(free), rounds, confidence), "accepted")
+    k = F.array_position(F.array(*[F.lit(x) for x in ALL_KINDS]), F.col("kind")).cast("int") - 1
+    more = filled.select("doc_id", "th", "x", F.lower("x.v").alias("value")).distinct().join(accepted, "value").select(
+        "doc_id", "th", k.alias("k"), "kind", "x.s", "x.e", "x.v")
+    flat = lambda c: found.select("doc_id", "th", F.explode(c).alias("x")).select("doc_id", "th", *[f"x.{n}" for n in _FIELDS])
+    extra = settle(flat("secret").union(more).distinct(), "extra")
+    homes = extra.select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct()
+    at_home = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+    kept = _apart(flat("base").distinct().join(homes, at_home, "left_semi"), extra)
+    hits = kept.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(
+        F.array_sort(F.collect_list(F.struct(*_FIELDS))).alias("added"))
+    out = found.join(hits, at_home, "left")
+    slim = F.transform("base", lambda x: F.struct(*[x[n].alias(n) for n in _FIELDS]))
     none = F.array().cast("array<struct<k:int,kind:string,s:int,e:int,v:string>>")
-    return out.select("doc_id", "th", slim("base").alias("base"), F.coalesce("added", none).alias("added"))
+    return out.select("doc_id", "th", slim.alias("base"), F.coalesce("added", none).alias("added"))
+
+
+_FIELDS = ("k", "kind", "s", "e", "v")
+
+
+def _apart(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """The rows of ``extra`` that overlap no base span and no extra one that
+    starts before them, is longer from the same start, or is of an earlier kind."""
+    rows = base.withColumn("own", F.lit(True)).unionByName(extra.withColumn("own", F.lit(False)))
+    order = Window.partitionBy("doc_id", "th").orderBy("s", F.desc("e"), F.desc("own"), "k")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    marked = rows.withColumn("reached", F.max("e").over(before)).withColumn("next", F.min(F.when(F.col("own"), F.col("s"))).over(after))
+    return marked.filter("NOT own AND coalesce(reached, 0) <= s AND coalesce(next, e) >= e").drop("own", "reached", "next")
 
 
 def _listed(spans: Column) -> Column:

@@ -293,6 +293,28 @@ def test_patterns_find_unknown_identifiers(spark):
     assert got[99] == [("card", bad)] and got[100] == [] and got[0] == []
 
 
+def test_patterns_find_forms_that_no_base_pattern_has(spark):
+    """Numbers without a plus, words without digits and short passwords, by their contexts alone."""
+    rng = random.Random(7)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [f"reach us, phone: +49 30 {digits(7)} or come by" for _ in range(12)]
+    rows += [f"write, mail: {x}{x}@ex.org soon" for x in "abcdefghijkl"]
+    rows += [f"set password={rng.randrange(16**18, 16**19):x}a1 now" for _ in range(12)]
+    rows += ["phone: 030-1234567 it said", "mail: jane(at)ex please", "set password=hunter2 now", "the phone rang and a mail came", "set a = 5", None]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows + rows[:1])], "doc_id long, text string, th string")
+    got = {r.doc_id: [(x.kind, x.v) for x in r.added] for r in pii.personal_data(docs).collect()}
+    assert [got[i] for i in range(36, 42)] == [[("phone", "030-1234567")], [("email", "jane")], [("secret", "hunter2")], [], [], []]
+    assert all(got[i] == [] for i in range(24)) and len(got) == 43
+
+
+def test_personal_data_long_text(spark):
+    """100,000 tokens with digits, in time that grows with the text."""
+    text = " ".join(f"n{i}" for i in range(100_000)) + " a@b.cc"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = pii.personal_data(df).collect()
+    assert [(x.kind, x.s) for x in row.base] == [("email", len(text) - 6)]
+
+
 def test_statistics():
     t = "a b c d e f a b c d e g\n\na b\n#x|\na b\n"
     words = t.split()
