@@ -203,14 +203,14 @@ def _slots(text: Column) -> Column:
 
 def _fillers(docs: DataFrame, screened: DataFrame) -> DataFrame:
     """(doc_id, th, pattern, x): what stands in the screened patterns (pattern,
-    word), in documents that hold one of their words. Up to 200 words also make
-    a regular expression that passes over other documents unread; the join that
-    follows decides alike with and without it."""
-    some = [r.word for r in screened.select("word").distinct().limit(201).collect()]
-    if not some:
-        return docs.select("doc_id", "th", F.lit("").alias("pattern"), F.lit(None).cast("struct<s:int,e:int,v:string>").alias("x")).limit(0)
-    if len(some) <= 200:
-        docs = docs.filter(F.lower("text").rlike("|".join("\\Q" + w.rstrip("=:#").replace("\\E", "") + "\\E" for w in some)))
+    word), in the documents that hold one of their words, which a join finds."""
+    bare = lambda w: F.regexp_replace(w, "[=:#]+$", "")
+    names = settle(screened.select(bare(F.col("word")).alias("name")).distinct(), "names")
+    if settled_bytes(names) <= BROADCAST_BYTES:
+        names = F.broadcast(names)
+    there = docs.select("doc_id", "th", F.explode(F.array_distinct(F.transform(_words(F.col("text")), bare))).alias("name"))
+    homes = settle(there.join(names, "name").select(F.col("doc_id").alias("d"), F.col("th").alias("t")).distinct(), "homes")
+    docs = docs.join(homes, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi")
 
     def in_context(x: Column) -> Column:
         return F.transform(x, lambda y, i: F.struct(

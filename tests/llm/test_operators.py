@@ -387,6 +387,15 @@ def test_extract(spark):
     assert got[2].text == "" and got[None].n_chars == 0
 
 
+def test_deep_and_stray_pages_in_linear_time():
+    """100,000 open tags, and as many stray quotes and unclosed list items."""
+    deep = read_blocks("<div class='a b'>" * 100_000 + "<p>text</p><p>more</p>")
+    assert [b.text for b in deep] == ["text", "more"] and len(deep[0].path) == 3 * 100_000 + 1
+    assert html_extract.block_features(deep).shape == (2, html_extract.DIM)
+    assert len(read_blocks("<a href=\"x>y</a> <p t='z>w" * 50_000)) >= 0
+    assert len(read_blocks("<span>" * 100_000 + "<li>x</span></i>" * 20_000)) == 20_000
+
+
 def test_labeller_reads_whole_blocks():
     """Ancestors behind many class words and words behind 400 characters are seen."""
     many = " ".join("abcdefghijklmnopqrstuvwxyz")
