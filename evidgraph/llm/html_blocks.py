@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
-SILENT = frozenset("head title script style noscript template svg math iframe object canvas select option textarea button".split())
+SILENT = frozenset("head title script style noscript template iframe select option textarea button".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split()
 )
@@ -30,42 +32,82 @@ _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r ]+")
 
 
+class Path:
+    """Tag and class, id and role words of every open element, outermost first.
+    Blocks share the words of the elements they share."""
+
+    def __init__(self, last: tuple | None):
+        self.last = last
+
+    def elements(self) -> Iterator[tuple]:
+        """(words, elements above) from the innermost element outwards."""
+        at = self.last
+        while at is not None:
+            yield at
+            at = at[1]
+
+    def __iter__(self) -> Iterator[str]:
+        for words, _ in reversed(list(self.elements())):
+            yield from words
+
+    def __eq__(self, other: object) -> bool:
+        return tuple(self) == tuple(other)
+
+    def __len__(self) -> int:
+        return sum(len(words) for words, _ in self.elements())
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # tag and class, id and role words of every open element
+    path: Path
     text: str
     link_chars: int
 
 
+#: What ends a tag or opens a quote in it, from inside a tag.
+_TAG_PART = re.compile(r""">|=\s*(["'])""")
+
+
 def _tag_end(source: str, i: int) -> int:
-    """Index after the '>' that ends the tag at i, minding quotes; -1 if cut off."""
-    end = source.find(">", i)
-    while end >= 0:
-        inside = source[i:end]
-        if '"' not in inside and "'" not in inside:
-            return end + 1
-        quote, at = "", 0
-        for m in re.finditer(r"""=\s*(["'])|["']""", inside):
-            if m.start() < at:
+    """Index after the '>' that ends the tag whose attributes start at i; one
+    inside a quoted value does not. A quote that is never closed is no quote.
+    -1 if the tag is cut off. Every character is passed once, for a quote is
+    looked for from where it opens on; that one is open to the end of the page
+    is remembered by the caller's ``_Quotes``."""
+    return _Quotes(source).tag_end(i)
+
+
+class _Quotes:
+    """Tag ends of one page. Remembers from where on a quote mark is missing,
+    so that stray quotes do not search the rest of the page again and again."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.missing = {'"': len(source) + 1, "'": len(source) + 1}
+
+    def tag_end(self, i: int) -> int:
+        at = i
+        while m := _TAG_PART.search(self.source, at):
+            at = m.end()
+            if not m[1]:
+                return at
+            if at >= self.missing[m[1]]:
+                continue
+            close = self.source.find(m[1], at)
+            if close < 0:
+                self.missing[m[1]] = min(self.missing[m[1]], at)
                 continue
-            if m[1]:
-                close = inside.find(m[1], m.end())
-                if close < 0:
-                    quote = m[1]
-                    break
-                at = close + 1
-        if not quote:
-            return end + 1
-        close = source.find(quote, end)
-        if close < 0:
-            return -1
-        end = source.find(">", close)
-    return -1
+            at = close + 1
+        return -1
 
 
 def read_blocks(source: str) -> list[Block]:
     """The non-empty leaf blocks in page order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    # open elements: name, own words, and the words of all of them as a linked
+    # list (words, list above, depth), which blocks share
+    stack: list[tuple[str, tuple | None]] = []
+    open_names: Counter[str] = Counter()
+    quotes = _Quotes(source)
     blocks: list[Block] = []
     pieces: list[str] = []
     linked = silent = in_link = 0
@@ -76,8 +118,7 @@ def read_blocks(source: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip(" ")
             pieces.clear()
             if text:
-                path = tuple(w for name, words in stack if name not in INLINE or name == "a" for w in words)
-                blocks.append(Block(path, text, min(linked, len(text))))
+                blocks.append(Block(Path(stack[-1][1] if stack else None), text, min(linked, len(text))))
         linked = 0
 
     def pop(n: int) -> None:
@@ -85,6 +126,7 @@ def read_blocks(source: str) -> list[Block]:
         if any(name not in INLINE and name not in RAW for name, _ in stack[n:]):
             flush()
         for name, _ in stack[n:]:
+            open_names[name] -= 1
             silent -= name in SILENT
             in_link -= name == "a"
         del stack[n:]
@@ -125,18 +167,18 @@ def read_blocks(source: str) -> list[Block]:
             text("<")
             i = at + 1
             continue
-        end = _tag_end(source, m.end())
+        end = quotes.tag_end(m.end())
         if end < 0:
             break
         name = m[1].lower()
         if source[at + 1] == "/":
-            if any(x == name for x, _ in stack):
+            if open_names[name]:
                 close({name}, frozenset())
             i = end
             continue
-        if name in _CLOSES_P:
+        if name in _CLOSES_P and open_names["p"]:
             close({"p"}, frozenset({"td", "th", "button", "object"}))
-        if name in _CLOSES_SAME:
+        if name in _CLOSES_SAME and any(open_names[x] for x in _CLOSES_SAME[name]):
             close(_CLOSES_SAME[name], _SCOPE - {"td", "th"})
         if name not in INLINE and name not in RAW:
             flush()
@@ -146,7 +188,11 @@ def read_blocks(source: str) -> list[Block]:
             if "=" in attrs:
                 for a in _ATTR.finditer(attrs):
                     words += [f"{a[1].lower()[0]}.{w}" for w in _WORDS.findall((a[2] or a[3] or a[4] or "").lower())]
-            stack.append((name, tuple(words)))
+            above = stack[-1][1] if stack else None
+            if name not in INLINE or name == "a":
+                above = (tuple(words), above)
+            stack.append((name, above))
+            open_names[name] += 1
             silent += name in SILENT
             in_link += name == "a"
         i = end

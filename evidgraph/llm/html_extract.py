@@ -28,22 +28,50 @@ DIM = TAG_DIM + CLASS_DIM + WORD_DIM + SHAPE_DIM
 _BAGS = (slice(0, TAG_DIM), slice(TAG_DIM, TAG_DIM + CLASS_DIM), slice(TAG_DIM + CLASS_DIM, DIM - SHAPE_DIM))
 
 
+class _PathBags:
+    """Hashed bags of the tag and class words of paths. An element's bag is its
+    parent's and its own words, made once for all blocks below it; only the
+    bags of the path last read are held."""
+
+    def __init__(self):
+        self.held: dict[int, tuple[np.ndarray, int]] = {}
+        self.path: list[tuple] = []
+
+    def of(self, path) -> tuple[np.ndarray, int]:
+        last = path.last
+        if last is None:
+            return np.zeros(TAG_DIM + CLASS_DIM, np.float32), 0
+        fresh = []
+        while last is not None and id(last) not in self.held:
+            fresh.append(last)
+            last = last[1]
+        while self.path and self.path[-1] is not last:
+            del self.held[id(self.path.pop())]
+        for element in reversed(fresh):
+            bag, n = self.held[id(self.path[-1])] if self.path else (np.zeros(TAG_DIM + CLASS_DIM, np.float32), 0)
+            bag = bag.copy()
+            for w in element[0]:
+                h = zlib.crc32(w.encode())
+                bag[TAG_DIM + h % CLASS_DIM if "." in w else h % TAG_DIM] += 1.0 if (h >> 16) & 1 else -1.0
+            self.path.append(element)
+            self.held[id(element)] = (bag, n + len(element[0]))
+        return self.held[id(self.path[-1])]
+
+
 def block_features(blocks: list[Block]) -> np.ndarray:
     """One row for each block."""
-    out = np.zeros((len(blocks), DIM))
+    out = np.zeros((len(blocks), DIM), np.float32)
     total = max(len(blocks), 1)
+    bags = _PathBags()
     for i, b in enumerate(blocks):
         row = out[i]
-        for w in b.path:
-            h = zlib.crc32(w.encode())
-            at = TAG_DIM + h % CLASS_DIM if "." in w else h % TAG_DIM
-            row[at] += 1.0 if (h >> 16) & 1 else -1.0
+        row[: TAG_DIM + CLASS_DIM], path_words = bags.of(b.path)
         for w in b.text.lower().split():
             h = zlib.crc32(w.encode(errors="replace"))
             row[TAG_DIM + CLASS_DIM + h % WORD_DIM] += 0.03 if (h >> 16) & 1 else -0.03
         n = len(b.text)
         row[DIM - SHAPE_DIM :] = (
-            np.log1p(n) / 6, b.link_chars / n, i / total, len(b.path) / 10, b.text.count(".") * 20 / (n + 20), 1.0
+            np.log1p(n) / 6, b.link_chars / n, i / total, path_words / 10, b.text.count(".") * 20 / (n + 20), 1.0
         )
     for bag in _BAGS:
         out[:, bag] /= np.sqrt(np.abs(out[:, bag]).sum(1, keepdims=True) + 0.1)
