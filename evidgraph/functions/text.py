@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,17 +10,39 @@ from pyspark.sql import functions as F
 
 # Words that carry no search meaning.
 STOP_WORDS = (
-    "affected are change does explain exists from how into the that this used using what when where which why without"
-).split()
+    "affected", "are", "change", "does", "explain", "exists", "from", "how", "into", "the", "that", "this", "used", "using",
+    "what", "when", "where", "which", "why", "without",
+)
 # Suffixes in the order in which they are tried.
-SUFFIXES = "ization izations ations ation ing ed es s ly ence ance ment".split()
+SUFFIXES = ("ization", "izations", "ations", "ation", "ing", "ed", "es", "s", "ly", "ence", "ance", "ment")
 
-WORD = "[a-z0-9]+"
+#: A word in any script.
+WORD = r"[\p{L}\p{N}]+"
+
+
+def _marked_letters() -> tuple[str, str]:
+    """Letters that Unicode composes of a base letter and marks, and their base letters."""
+    pairs = {}
+    for point in (*range(0xC0, 0x250), *range(0x386, 0x460), *range(0x1E00, 0x2000)):
+        parts = unicodedata.normalize("NFD", chr(point))
+        if len(parts) > 1 and all(unicodedata.category(x) == "Mn" for x in parts[1:]):
+            pairs[chr(point)] = parts[0]
+    return "".join(pairs), "".join(pairs.values())
+
+
+_MARKED, _BARE = _marked_letters()
+
+
+def fold(text: Column) -> Column:
+    """Lower case without diacritics; plain ASCII takes the short way."""
+    bare = F.regexp_replace(F.translate(F.lower(text), _MARKED, _BARE), "\\p{Mn}+", "")
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.lower(bare))
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of a-z and 0-9. The one tokeniser of every index here."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
+    """Folded runs of letters and digits of any script. The one tokeniser of
+    every index here."""
+    return F.regexp_extract_all(fold(text), F.lit(f"({WORD})"), F.lit(1))
 
 
 def camel_split(text: Column) -> Column:
@@ -36,7 +59,7 @@ def searchable_text(value: Column) -> Column:
 def query_terms(query: Column) -> Column:
     """Distinct terms of two or more characters that are no stop words, in order."""
     split = F.regexp_replace(camel_split(query), "_", "-")
-    return F.array_distinct(F.filter(tokens(split), lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS)))
+    return F.array_distinct(F.filter(tokens(split), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS)))
 
 
 def stem(term: Column) -> Column:

@@ -121,6 +121,11 @@ def community_table(groups: DataFrame) -> DataFrame:
         F.concat(F.lit("community:"), signature(F.col("members"))).alias("id"), "label", "scope", "members", F.size("members").alias("files"))
 
 
+def community_order(table: DataFrame) -> DataFrame:
+    """Communities by size, the larger first, then by their first member."""
+    return table.orderBy(F.desc("files"), F.element_at("members", 1))
+
+
 def community_rollup(membership: DataFrame, placed: DataFrame, claims: DataFrame) -> DataFrame:
     """(community, files, symbols, records, status). membership is
     (path, community); placed is (id, path); claims is (record, file)."""
@@ -150,25 +155,41 @@ def cross_community(edges: DataFrame, placed: DataFrame, membership: DataFrame,
 
 
 def project_digest(sources: DataFrame) -> DataFrame:
-    """One digest over sorted path:hash lines. Digests of 256 hashed parts
-    are taken first, so no task holds the whole list."""
-    line = F.concat_ws(":", "path", "hash")
-    part = sources.select(F.pmod(F.xxhash64("path"), F.lit(256)).alias("part"), line.alias("line")).groupBy("part").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\0").cast("binary"), 256).alias("d"))
-    return part.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\0").cast("binary"), 256).alias("digest"))
+    """The digest over the sorted path:hash lines. Lines are short (a path
+    and a digest); this is one row over the manifest, as A11 defines it."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "hash"))), lambda x: F.concat_ws(":", x["path"], x["hash"]))
+    return sources.agg(F.sha2(F.array_join(lines, "\0").cast("binary"), 256).alias("digest"))
 
 
 def jaccard_pairs(records: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(a, b, shared, overlap): pairs of equal ``kind`` whose distinct
-    ``targets`` overlap. Candidates meet on a shared target, so only pairs that
-    share something are formed."""
-    one = records.select("id", "kind", F.array_distinct("targets").alias("targets")).filter(F.size("targets") > 0)
-    flat = one.select("id", "kind", F.size("targets").alias("n"), F.explode("targets").alias("t"))
-    left = flat.select(F.col("id").alias("a"), "kind", F.col("n").alias("na"), "t")
-    right = flat.select(F.col("id").alias("b"), "kind", F.col("n").alias("nb"), "t")
-    met = left.join(right, ["kind", "t"]).filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    overlap = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return met.withColumn("overlap", overlap).filter(F.col("overlap") >= threshold).select("a", "b", "shared", "overlap")
+    ``targets`` overlap by ``threshold``.
+
+    Records with equal targets are one group, met through its least id. Two
+    sets that overlap enough share one of their rarest n - ceil(threshold * n) + 1
+    targets, so only those are joined on, between sets of fitting sizes; the
+    overlap itself is counted on the whole arrays.
+    """
+    one = records.select("id", "kind", F.array_sort(F.array_distinct("targets")).alias("targets")).filter(F.size("targets") > 0)
+    sets = one.select("kind", "targets").distinct().withColumn("sid", F.sha2(F.to_json(F.struct("kind", "targets")).cast("binary"), 256))
+    flat = sets.select("sid", "kind", F.size("targets").alias("n"), F.explode("targets").alias("t"))
+    often = flat.groupBy("kind", "t").agg(F.count(F.lit(1)).alias("times"))
+    rank = F.row_number().over(Window.partitionBy("sid").orderBy("times", "t"))
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    rare = flat.join(often, ["kind", "t"]).withColumn("r", rank).filter(F.col("r") <= prefix).select("sid", "kind", "n", "t")
+    right = rare.select(F.col("sid").alias("sid2"), "kind", F.col("n").alias("n2"), "t")
+    fits = F.least("n", "n2") >= F.greatest("n", "n2") * threshold - 1e-9
+    met = rare.join(right, ["kind", "t"]).filter((F.col("sid") < F.col("sid2")) & fits).select("sid", "sid2").distinct()
+    x = sets.select("sid", F.col("targets").alias("x"))
+    y = sets.select(F.col("sid").alias("sid2"), F.col("targets").alias("y"))
+    both = met.join(x, "sid").join(y, "sid2").withColumn("shared", F.size(F.array_intersect("x", "y")).cast("long"))
+    both = both.withColumn("overlap", F.col("shared") / (F.size("x") + F.size("y") - F.col("shared"))).filter(F.col("overlap") >= threshold)
+    same = sets.select("sid", F.col("sid").alias("sid2"), F.size("targets").cast("long").alias("shared"), F.lit(1.0).alias("overlap"))
+    alike = both.select("sid", "sid2", "shared", "overlap").unionByName(same)
+    member = one.join(sets, ["kind", "targets"]).select("id", "sid")
+    pairs = alike.join(member.select("sid", F.col("id").alias("p")), "sid").join(member.select(F.col("sid").alias("sid2"), F.col("id").alias("q")), "sid2")
+    pairs = pairs.filter((F.col("sid") != F.col("sid2")) | (F.col("p") < F.col("q")))
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared", "overlap")
 
 
 def conflicts(records: DataFrame) -> DataFrame:
@@ -200,16 +221,27 @@ def duplicate_titles(records: DataFrame) -> DataFrame:
 
 def broken_references(records: DataFrame, files: DataFrame) -> DataFrame:
     """(code, id, reference): targets that match no file or directory
-    (LINK001), record references that match no record (LINK002)."""
+    (LINK001), record references that match no record (LINK002), targets that
+    lead out of the project (LINK003), which are not looked up."""
     from .resolve import ancestors
 
     known = files.select(F.explode(ancestors(F.col("path"))).alias("reference")).distinct()
     targets = records.select("id", F.explode("targets").alias("reference"))
     targets = targets.withColumn("reference", F.regexp_replace("reference", "/+$", ""))
+    depth = F.aggregate(
+        F.filter(F.split("reference", "/"), lambda p: ~p.isin("", ".")), F.struct(F.lit(0).alias("at"), F.lit(0).alias("low")),
+        lambda acc, p: F.struct(
+            (acc["at"] + F.when(p == "..", -1).otherwise(1)).alias("at"),
+            F.least(acc["low"], acc["at"] + F.when(p == "..", -1).otherwise(1)).alias("low"),
+        ),
+    )
+    leaves = F.startswith("reference", F.lit("/")) | (depth["low"] < 0)
+    outside = targets.filter(leaves).select(F.lit("LINK003").alias("code"), "id", "reference")
+    targets = targets.filter(~leaves)
     first = targets.join(known, "reference", "left_anti").select(F.lit("LINK001").alias("code"), "id", "reference")
     refs = records.select("id", F.explode(F.concat("constraints", "supersedes")).alias("reference"))
     ids = records.select(F.col("id").alias("reference")).distinct()
-    return first.unionByName(refs.join(ids, "reference", "left_anti").select(F.lit("LINK002").alias("code"), "id", "reference"))
+    return outside.unionByName(first).unionByName(refs.join(ids, "reference", "left_anti").select(F.lit("LINK002").alias("code"), "id", "reference"))
 
 
 def validate(records: DataFrame, files: DataFrame, indexed: DataFrame | None = None) -> DataFrame:

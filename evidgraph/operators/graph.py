@@ -226,40 +226,53 @@ def traverse(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: in
         )
     )
 
-    def settle_query(pdf: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        info = {r.source: (r.type, r.label, r.target) for r in pdf[pdf.what == "node"].itertuples()}
-        near: dict[str, list[tuple]] = {}
-        for r in pdf[pdf.what == "edge"].itertuples():
-            w = EDGE_WEIGHTS[r.type]
-            ends = (r.source, r.target) if r.label == "forward" else (r.target, r.source)
-            near.setdefault(r.source, []).append((r.target, w if r.label == "forward" else w * REVERSE_FACTOR, r.type, *ends))
-        for v in near.values():
-            v.sort(key=lambda e: (-EDGE_WEIGHTS[e[2]], TYPE_PRIORITY.get(info[e[0]][0], 10), info[e[0]][1] or "", e[0], e[2]))
-        heap, seq, done, out = [], 0, set(), []
-        for s in sorted(set(pdf[pdf.what == "seed"].source)):
-            heapq.heappush(heap, (-1.0, seq, s, 0, None))
-            seq += 1
-        while heap and len(out) < max_items:
-            strength, _, node, depth, via = heapq.heappop(heap)
-            if node in done or node not in info:
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Label setting: one tentative label a node, the strongest so far and
+        the earliest of equal ones; the best open label is made final at most
+        ``max_items`` times, and only final labels short of the depth go on."""
+        known = pdf[pdf.what == "node"].drop_duplicates("source").set_index("source")
+        links = pdf[pdf.what == "edge"].copy()
+        ahead = links.label == "forward"
+        links["weight"] = links.type.map(EDGE_WEIGHTS)
+        links["factor"] = links.weight.where(ahead, links.weight * REVERSE_FACTOR)
+        links["tail"], links["head"] = links.source.where(ahead, links.target), links.target.where(ahead, links.source)
+        links = links[links.target.isin(known.index)]
+        links["turn"] = known.type.reindex(links.target).map(TYPE_PRIORITY).fillna(10).to_numpy()
+        links["name"] = known.label.reindex(links.target).fillna("").to_numpy()
+        links = links.sort_values(["source", "weight", "turn", "name", "target", "type"], ascending=[True, False, True, True, True, True])
+        outgoing = dict(list(links.groupby("source")))
+
+        starts = [s for s in sorted(set(pdf[pdf.what == "seed"].source)) if s in known.index]
+        labels = {s: (1.0, -i, 0, None, None, None) for i, s in enumerate(starts)}  # strength, age, depth, via
+        final: list[tuple] = []
+        closed: set[str] = set()
+        age = len(starts)
+        for _ in range(max_items):
+            if not labels:
+                break
+            here = max(labels, key=lambda k: labels[k][:2])
+            strength, _, depth, *via = labels.pop(here)
+            closed.add(here)
+            final.append((here, strength, depth, *via))
+            if depth == max_depth or here not in outgoing:
                 continue
-            done.add(node)
-            type_, label, status = info[node]
-            score = -strength * (GOVERNING_BOOST if status in ("stable", "accepted", "implemented") else 1.0)
-            out.append((pdf.query_id.iloc[0], node, type_, label, round(score, 4), depth, *(via or (None, None, None))))
-            if depth < max_depth:
-                for there, w, t, s, e in near.get(node, []):
-                    if there not in done:
-                        heapq.heappush(heap, (strength * w, seq, there, depth + 1, (t, s, e)))
-                        seq += 1
-        out.sort(key=lambda r: (-r[4], r[2] or "", r[3] or "", r[1]))
-        return pd.DataFrame(out, columns=["query_id", "node", "type", "label", "score", "distance", "via_type", "via_source", "via_target"])
+            for link in outgoing[here].itertuples():
+                reach = strength * link.factor
+                if link.target not in closed and (link.target not in labels or labels[link.target][0] < reach):
+                    labels[link.target] = (reach, -age, depth + 1, link.type, link.tail, link.head)
+                age += 1
+        out = pd.DataFrame(final, columns=["node", "strength", "distance", "via_type", "via_source", "via_target"])
+        out = out.join(known[["type", "label", "target"]], on="node")
+        boost = out.target.isin(["stable", "accepted", "implemented"]).map({True: GOVERNING_BOOST, False: 1.0}).astype(float)
+        out["score"] = [round(x, 4) for x in out.strength * boost]
+        out["query_id"] = pdf.query_id.iloc[0]
+        out["name"] = out.label.fillna("")
+        out = out.sort_values(["score", "type", "name", "node"], ascending=[False, True, True, True])
+        return out[["query_id", "node", "type", "label", "score", "distance", "via_type", "via_source", "via_target"]]
 
     kind = dict(seeds.dtypes)["query_id"]
     return rows.groupBy("query_id").applyInPandas(
-        settle_query,
+        walk,
         f"query_id {kind}, node string, type string, label string, score double, distance int,"
         " via_type string, via_source string, via_target string",
     )

@@ -21,6 +21,17 @@ def relative_module(current: Column, module: Column, level: Column, is_package:
     return F.when(level == 0, module).otherwise(joined)
 
 
+def strongest(edges: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each ``key``: the most confident one; on a tie the extracted
+    one, then the least in the order of the other columns. Runs agree."""
+    rest = [c for c in edges.columns if c not in key]
+    first = [(-F.col("confidence")).alias("_confidence")] if "confidence" in rest else []
+    if "provenance" in rest:
+        first.append((F.col("provenance") != "EXTRACTED").alias("_guess"))
+    best = edges.groupBy(*key).agg(F.min(F.struct(*first, *rest)).alias("x"))
+    return best.select(*[F.col(c) if c in key else F.col(f"x.{c}").alias(c) for c in edges.columns])
+
+
 def first_match(candidates: list[DataFrame], key: list[str]) -> DataFrame:
     """J03's coalescing: of ranked candidate tables (key, target, provenance,
     confidence) the row of the first that has one. One union and one
@@ -89,7 +100,7 @@ def resolve_python(symbols: DataFrame, uses: DataFrame, imports: DataFrame, bind
         F.concat(F.lit("file:"), "rel").alias("source"), F.concat(F.lit("file:"), "trel").alias("target"), F.lit("IMPORTS").alias("type"),
         F.col("imodule").alias("evidence"), F.lit("EXTRACTED").alias("provenance"), F.lit(1.0).alias("confidence"),
     )
-    return edges.unionByName(files).dropDuplicates(["source", "target", "type", "evidence"])
+    return strongest(edges.unionByName(files), ["source", "target", "type", "evidence"])
 
 
 def resolve_by_name(calls: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -100,17 +111,34 @@ def resolve_by_name(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     the caller itself (unless alone) compete: the smallest id is taken, 0.9 if
     unique, else 1/n.
     """
-    named = calls.join(symbols, calls["name"] == symbols["label"])
-    exact = named.filter(F.col("alias_stem") == F.col("stem")).select("source", "name", F.col("id").alias("target"))
-    exact = exact.groupBy("source", "name").agg(F.min("target").alias("target")).select(
-        "source", "name", "target", F.lit(1).cast("long").alias("candidates"), F.lit(1.0).alias("confidence"), F.lit("EXTRACTED").alias("provenance"))
-    group = Window.partitionBy("source", "name")
-    others = named.join(exact.select("source", "name"), ["source", "name"], "left_anti").select("source", "name", "id")
-    others = others.distinct().withColumn("all", F.count(F.lit(1)).over(group)).filter((F.col("id") != F.col("source")) | (F.col("all") == 1))
-    guess = others.groupBy("source", "name").agg(F.min("id").alias("target"), F.count(F.lit(1)).alias("candidates")).select(
-        "source", "name", "target", "candidates",
-        F.when(F.col("candidates") == 1, 0.9).otherwise(F.round(1 / F.col("candidates"), 2)).alias("confidence"), F.lit("INFERRED").alias("provenance"))
-    return exact.unionByName(guess)
+    unique = symbols.select("id", "label", "stem").distinct()
+    labels = _label_summary(unique)
+    at_stem = unique.groupBy(F.col("label").alias("name"), F.col("stem").alias("alias_stem")).agg(F.min("id").alias("target"))
+    one = calls.select("source", "name", "alias_stem").distinct()
+    settled = one.join(at_stem, ["name", "alias_stem"]).groupBy("source", "name").agg(F.min("target").alias("exact"))
+    asked = one.select("source", "name").distinct().join(settled, ["source", "name"], "left").join(labels, "name")
+    mine = unique.select(F.col("label").alias("name"), F.col("id").alias("source"), F.lit(True).alias("own")).distinct()
+    asked = asked.join(mine, ["name", "source"], "left")
+    left_out = F.col("own").isNotNull() & (F.col("n") > 1)
+    rivals = (F.col("n") - left_out.cast("long")).alias("rivals")
+    best = F.when(left_out & (F.col("least") == F.col("source")), F.col("second")).otherwise(F.col("least"))
+    out = asked.select("source", "name", "exact", best.alias("best"), rivals)
+    found = F.col("exact").isNotNull()
+    return out.select(
+        "source", "name", F.coalesce("exact", "best").alias("target"),
+        F.when(found, F.lit(1).cast("long")).otherwise(F.col("rivals")).alias("candidates"),
+        F.when(found, 1.0).when(F.col("rivals") == 1, 0.9).otherwise(F.round(1 / F.col("rivals"), 2)).alias("confidence"),
+        F.when(found, "EXTRACTED").otherwise("INFERRED").alias("provenance"),
+    )
+
+
+def _label_summary(symbols: DataFrame) -> DataFrame:
+    """(name, n, least, second): how many symbols have a label, and the two
+    smallest ids, so that a caller can be left out without listing them."""
+    ids = symbols.select(F.col("label").alias("name"), "id").distinct()
+    least = ids.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    return least.join(
+        ids.join(least.select("name", "least"), "name").filter("id > least").groupBy("name").agg(F.min("id").alias("second")), "name", "left")
 
 
 def normal_key(value: Column) -> Column:
@@ -165,4 +193,4 @@ def record_edges(records: DataFrame, files: DataFrame) -> DataFrame:
     for column, type_ in (("constraints", "CONSTRAINED_BY"), ("supersedes", "SUPERSEDES")):
         part = records.select(F.col("id").alias("source"), F.explode(column).alias("target"), *base(type_), F.lit(column).alias("evidence"))
         refs = part if refs is None else refs.unionByName(part)
-    return applies.unionByName(refs).dropDuplicates(["source", "target", "type", "evidence"])
+    return strongest(applies.unionByName(refs), ["source", "target", "type", "evidence"])

@@ -6,12 +6,15 @@ Every operator takes a table of queries, so one plan answers many tasks.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import demoted
 from ..functions.text import match_forms, query_terms, stem, tokens
 from ..schema import TYPE_PRIORITY
+from .state import settle
 
 #: Column weights; a larger one counts more.
 WEIGHTS = {"label": 0.4, "body": 5.0, "path": 0.3}
@@ -19,11 +22,11 @@ K1, B = 1.2, 0.75
 
 
 def postings(documents: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(node_id, term, f): weighted term frequency over the indexed columns."""
+    """(node_id, term, f, c): weighted and plain term frequency over the indexed columns."""
     weights = weights or WEIGHTS
     parts = [_weighted(c, w) for c, w in weights.items()]
     exploded = documents.select("node_id", F.explode(F.concat(*parts)).alias("x"))
-    return exploded.groupBy("node_id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("f"))
+    return exploded.groupBy("node_id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("f"), F.count(F.lit(1)).alias("c"))
 
 
 def _weighted(column: str, weight: float) -> Column:
@@ -32,11 +35,25 @@ def _weighted(column: str, weight: float) -> Column:
     )
 
 
-def lengths(documents: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(node_id, d): tokens of a row over the indexed columns."""
-    size = lambda c: F.size(tokens(F.coalesce(F.col(c), F.lit(""))))
-    total = sum((size(c) for c in columns or WEIGHTS), F.lit(0))
-    return documents.select("node_id", total.cast("long").alias("d"))
+@dataclass
+class TextIndex:
+    """An inverted index, written once and read by any number of searches:
+    postings (node_id, term, f), lengths (node_id, d) and the one-row totals."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    totals: DataFrame
+
+
+def build_index(documents: DataFrame, weights: dict[str, float] | None = None) -> TextIndex:
+    """Every text is split once; lengths and totals follow from the postings.
+    Rows without a token count as rows."""
+    made = settle(postings(documents, weights), "postings")
+    lengths = settle(made.groupBy("node_id").agg(F.sum("c").alias("d")), "lengths")
+    rows = documents.agg(F.count(F.lit(1)).alias("rows"))
+    totals = lengths.agg(F.sum("d").alias("all")).crossJoin(rows)  # one row each
+    totals = settle(totals.select("rows", (F.coalesce("all", F.lit(0)) / F.col("rows")).alias("avg_d")), "totals")
+    return TextIndex(made.select("node_id", "term", "f"), lengths, totals)
 
 
 def query_forms(queries: DataFrame) -> DataFrame:
@@ -45,32 +62,41 @@ def query_forms(queries: DataFrame) -> DataFrame:
     return terms.select("query_id", F.explode(match_forms(F.col("term"))).alias("x")).select("query_id", "x.form", "x.is_prefix").distinct()
 
 
-def bm25(documents: DataFrame, queries: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, node_id, bm25) for every match; smaller is better.
+def bm25(documents: DataFrame | TextIndex, queries: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, node_id, bm25) for every match; smaller is better. Documents
+    are indexed here unless they come as an index.
 
     Prefix forms meet the vocabulary through its prefixes of three or more
     characters, so both kinds of form are equi-joins, and postings join on the
     matched terms only. Forms come from queries: they are the small side, and
     Catalyst broadcasts them while their measured size allows.
     """
-    weights = weights or WEIGHTS
-    index = postings(documents, weights)
+    index = documents if isinstance(documents, TextIndex) else build_index(documents, weights)
     forms = query_forms(queries)
-    vocabulary = index.select("term").distinct()
+    vocabulary = index.postings.select("term").distinct()
     prefixes = vocabulary.select(
         "term", F.explode(F.when(F.length("term") >= 3, F.sequence(F.lit(3), F.length("term"))).otherwise(F.array().cast("array<int>"))).alias("n")
     ).select("term", F.expr("left(term, n)").alias("form"))
-    literal = forms.filter("NOT is_prefix").select("query_id", "form", "is_prefix", F.col("form").alias("term"))
-    prefix = forms.filter("is_prefix").join(prefixes, "form").select("query_id", "form", "is_prefix", "term")
-    matched = literal.unionByName(prefix).join(index, "term")
-    hits = matched.groupBy("query_id", "form", "is_prefix", "node_id").agg(F.sum("f").alias("f"))
-    df = hits.groupBy("query_id", "form", "is_prefix").agg(F.count(F.lit(1)).alias("n"))
-    size = lengths(documents, list(weights))
-    totals = size.agg(F.count(F.lit(1)).alias("rows"), F.avg("d").alias("avg_d"))  # one row
-    scored = hits.join(df, ["query_id", "form", "is_prefix"]).join(size, "node_id").crossJoin(F.broadcast(totals))
+    literal = forms.filter("NOT is_prefix").select("form", "is_prefix", F.col("form").alias("term")).distinct()
+    prefix = forms.filter("is_prefix").select("form", "is_prefix").distinct().join(prefixes, "form").select("form", "is_prefix", "term")
+    # what a form matches does not depend on the query that asks for it
+    matched = literal.unionByName(prefix).join(index.postings, "term")
+    hits = settle(matched.groupBy("form", "is_prefix", "node_id").agg(F.sum("f").alias("f")), "hits")
+    df = hits.groupBy("form", "is_prefix").agg(F.count(F.lit(1)).alias("n"))
+    scored = hits.join(df, ["form", "is_prefix"]).join(index.lengths, "node_id").crossJoin(F.broadcast(index.totals))
     idf = F.greatest(F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
-    return scored.groupBy("query_id", "node_id").agg((-F.sum(part)).alias("bm25"))
+    scored = scored.select("form", "is_prefix", "node_id", part.alias("part"))
+    return scored.join(forms, ["form", "is_prefix"]).groupBy("query_id", "node_id").agg((-F.sum("part")).alias("bm25"))
+
+
+def containing(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """P20: (query_id, node_id): rows whose label or body holds the query text
+    as it stands, for queries without a usable term. The queries without a term
+    are few by nature; each is held against every row."""
+    bare = queries.filter((F.size(query_terms(F.col("query"))) == 0) & (F.trim("query") != ""))
+    inside = F.contains(F.lower(F.coalesce("label", F.lit(""))), F.lower("query")) | F.contains(F.lower(F.coalesce("body", F.lit(""))), F.lower("query"))
+    return documents.join(bare, inside).select("query_id", "node_id")
 
 
 def coverage(path: Column, label: Column, terms: Column) -> Column:

@@ -105,7 +105,7 @@ def build(spark: SparkSession, root: str, config: Config | None = None, previous
                                                       F.to_json(F.struct("files", "scope")).alias("data"))))
     edges = edges.unionByName(_edges(members.select(F.concat(F.lit("file:"), "path").alias("source"), F.col("id").alias("target"), F.col("id").alias("evidence")),
                                      "MEMBER_OF", "structural-community", "INFERRED", 0.8))
-    edges = edges.dropDuplicates(["source", "target", "type", "evidence"])
+    edges = resolve.strongest(edges, ["source", "target", "type", "evidence"])
     body = recs.select("id", "body")
     documents = nodes.join(body, "id", "left").select(
         F.col("id").alias("node_id"), searchable_text(F.col("label")).alias("label"),
@@ -134,7 +134,7 @@ def _code_graph(scanned: DataFrame, facts: DataFrame, config: Config) -> tuple[D
     fid = F.concat(F.lit("file:"), "path")
     module = module_name(F.col("path"), config.source_roots)
     symbols = facts.filter("fact = 'symbol'").select(sid.alias("id"), "path", "qualname", "kind", "line", "end_line", module.alias("module"))
-    symbols = settle(symbols.dropDuplicates(["id"]), "symbols")
+    symbols = settle(resolve.strongest(symbols, ["id"]), "symbols")
     calls = facts.filter("fact = 'call'").groupBy(sid.alias("id")).agg(F.array_sort(F.collect_list(F.struct("line", "target"))).alias("calls"))
     file_nodes = _nodes(scanned.select(fid.alias("id"), F.lit("File").alias("type"), F.substring_index("path", "/", -1).alias("label"), "path",
                                        F.to_json(F.struct(module.alias("module"))).alias("data")))

@@ -84,7 +84,7 @@ def cross_community(spark, d):
 
 
 def project_digest(spark, d):
-    """A11 over all documents: the parts follow xxhash64, so no SQL form."""
+    """A11 over all documents."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return dv.project_digest(docs.select(F.concat(F.lit("d/"), "doc_id").alias("path"), F.md5("text").alias("hash")))
 
@@ -124,7 +124,7 @@ def trust_gate(spark, d):
 
 def precedent_rank(spark, d):
     """Parts as decisions, benchmark items as tasks."""
-    decisions = view(spark, d, "SELECT 'D-' || doc_id AS id, substr(text, 1, 60) AS title, 'stable' AS status, lang || '/' || source AS t FROM {documents}").withColumn("targets", F.array("t"))
+    decisions = view(spark, d, "SELECT 'D-' || doc_id AS id, text AS title, 'stable' AS status, lang || '/' || source AS t FROM {documents}").withColumn("targets", F.array("t"))
     tasks = view(spark, d, _TASK).withColumn("changed", F.array(F.concat(F.lit("en/src"), (F.col("task_id") % 20).cast("string")), F.lit("de")))
     return dv.precedents(decisions, tasks).select("task_id", "id", "score", F.col("rank").cast("long"))
 
@@ -167,6 +167,7 @@ ORACLES = {
     "coverage_totals": f"{_ROLL} SELECT sum(files)::BIGINT AS assigned, count(*) AS communities, count(*) FILTER (WHERE status = 'recorded') AS with_records, count(*) FILTER (WHERE status = 'missing') AS without_records FROM roll",
     "cross_community": f"""WITH {ctes(nodes=v.NODES, edges=v.EDGES, m=_MEMBERS)}, h AS (SELECT id, community FROM nodes JOIN m USING (path))
 SELECT source, target, type, s.community AS from_community, t.community AS to_community FROM edges JOIN h s ON s.id = source JOIN h t ON t.id = target WHERE s.community <> t.community ORDER BY source, target, type LIMIT 200""",
+    "project_digest": "SELECT sha256(string_agg('d/' || doc_id || ':' || md5(text), chr(0) ORDER BY 'd/' || doc_id, md5(text))) AS digest FROM documents",
     "signature_hash": f"SELECT path, left(sha256(string_agg(hash, chr(0) ORDER BY hash)), 16) AS signature FROM (SELECT DISTINCT path, hash FROM ({plain(_DOCS)})) GROUP BY path",
     "jaccard_conflicts": f"""WITH RECURSIVE {_REC}, k AS (SELECT id, type, CASE status WHEN 'accepted' THEN 'stable' WHEN 'proposed' THEN 'draft' ELSE status END AS status, targets FROM rec),
 f AS (SELECT id, type, status, len(targets) AS n, unnest(targets) AS t FROM k),
@@ -182,7 +183,7 @@ WHERE NOT EXISTS (SELECT 1 FROM c WHERE (c.u = a AND c.v = b) OR (c.u = b AND c.
 SELECT 'LINK001' AS code, id, t AS reference FROM (SELECT id, unnest(targets) AS t FROM rec) WHERE t NOT IN (SELECT path FROM f)
 UNION ALL SELECT 'LINK002', id, 'REC-' || (substr(id, 5)::BIGINT - 1) FROM rec WHERE substr(id, 5)::BIGINT % 8 > 0 AND 'REC-' || (substr(id, 5)::BIGINT - 1) NOT IN (SELECT id FROM rec)""",
     "trust_gate": "SELECT doc_id, 'TRUST001' AS code FROM labels GROUP BY doc_id HAVING max(quality) = 1 AND NOT bool_or(toxic = 0)",
-    "precedent_rank": f"""WITH d AS (SELECT 'D-' || doc_id AS id, substr(text, 1, 60) AS title, lang || '/' || source AS t FROM documents),
+    "precedent_rank": f"""WITH d AS (SELECT 'D-' || doc_id AS id, text AS title, lang || '/' || source AS t FROM documents),
 k AS (SELECT item_id AS task_id, text AS summary, 'en/src' || (item_id % 20) AS c FROM benchmark),
 g AS (SELECT task_id, id, 2.0::DOUBLE AS s FROM k JOIN d ON t = c UNION ALL SELECT task_id, id, 1.0 FROM k JOIN d ON starts_with(t, 'de/')),
 sw AS (SELECT DISTINCT task_id, unnest(regexp_extract_all(lower(summary), '[a-z0-9]{{3,}}')) AS w FROM k),

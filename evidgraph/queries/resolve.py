@@ -54,7 +54,7 @@ def config_keys_flatten(spark, d):
 def config_key_refs(spark, d):
     """Part types as keys, brands and names as references."""
     keys = view(spark, d, "SELECT 'cfg:' || p_partkey AS id, 'parts.' || p_type || '_' || (p_partkey % 400) AS key_path FROM {part}")
-    refs = view(spark, d, "SELECT 'c:' || (l_suppkey % 50) AS source, p_type || '-' || (l_partkey % 400) AS target FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_linenumber = 1")
+    refs = view(spark, d, "SELECT 'c:' || (l_suppkey % 50) AS source, p_type || '-' || (l_partkey % 400) AS target FROM {lineitem} JOIN {part} ON p_partkey = l_partkey")
     return r.config_references(refs, keys)
 
 
@@ -93,7 +93,7 @@ SELECT p.rel, p.point_id, p.at, (SELECT r.id FROM r WHERE r.rel = p.rel AND p.at
     "config_keys_flatten": """SELECT event_id AS source, k AS key_path, 'value' AS value_type FROM (SELECT event_id, unnest(json_keys(props)) AS k FROM events)""",
     "config_key_refs": """WITH k AS (SELECT DISTINCT 'cfg:' || p_partkey AS target, regexp_replace(lower(p_type || '_' || (p_partkey % 400)), '[^a-z0-9]', '', 'g') AS k FROM part),
 r AS (SELECT k FROM k WHERE len(k) >= 10 GROUP BY k HAVING count(*) <= 5),
-u AS (SELECT 'c:' || (l_suppkey % 50) AS source, p_type || '-' || (l_partkey % 400) AS evidence FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1)
+u AS (SELECT 'c:' || (l_suppkey % 50) AS source, p_type || '-' || (l_partkey % 400) AS evidence FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT source, target, min(evidence) AS evidence, 0.65::DOUBLE AS confidence FROM u JOIN k ON regexp_replace(lower(evidence), '[^a-z0-9]', '', 'g') = k.k JOIN r USING (k) GROUP BY ALL""",
     "comment_tags": r"""WITH l AS (SELECT doc_id AS path, unnest(string_split(regexp_replace(text, '(?m)^(The|Das|Der|Los|Les|And) ', '# NOTE: ', 'g'), chr(10))) AS line_text,
   generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)

@@ -14,8 +14,8 @@ _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
 
 def terms_sql(column: str) -> str:
     return (
-        "list_filter(regexp_extract_all(lower(replace(regexp_replace("
-        f"{column}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', '-')), '[a-z0-9]+'), lambda x: len(x) > 1 AND x NOT IN ({_STOP}))"
+        "list_filter(regexp_extract_all(lower(strip_accents(replace(regexp_replace("
+        f"{column}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', '-'))), '[\\pL\\pN]+'), lambda x: len(x) > 1 AND x NOT IN ({_STOP}))"
     )
 
 
@@ -27,7 +27,7 @@ def stem_sql(x: str) -> str:
 
 
 def tokens_sql(x: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+')"
+    return f"regexp_extract_all(lower(strip_accents(coalesce({x}, ''))), '[\\pL\\pN]+')"
 
 
 def bm25_sql(corpus: str, tasks: str, w: dict[str, float]) -> str:
@@ -53,7 +53,7 @@ _TOP = """, top AS (SELECT *, round(bm25, 6) AS score, row_number() OVER (PARTIT
 _RANKED = (
     _TOP
     + f""", asked AS (SELECT query_id, {terms_sql('query')} AS terms FROM tasks),
-ident AS (SELECT node_id, label, path, regexp_extract_all(lower(coalesce(path, '') || ' ' || coalesce(label, '')), '[a-z0-9]+') AS ident FROM corpus),
+ident AS (SELECT node_id, label, path, {tokens_sql("coalesce(path, '') || ' ' || coalesce(label, '')")} AS ident FROM corpus),
 cov AS (
   SELECT top.query_id, top.node_id, label, path, score AS bm25,
          len(list_filter(list_distinct(terms), lambda t: list_contains(ident, t) OR list_contains(list_transform(ident, lambda i: {stem_sql('i')}), {stem_sql('t')}))) AS coverage

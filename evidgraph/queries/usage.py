@@ -74,14 +74,18 @@ def recall_precision(spark, d):
 
 
 def _expected(spark, d):
-    """Documents with the first twelve words of an item, by an equi-join on
-    twelve-word windows."""
+    """Documents with twelve words in a row of an item, by an equi-join on
+    twelve-word windows of both."""
     words = lambda c: F.split(F.trim(c), "\\s+")
-    items = view(spark, d, "SELECT item_id AS case_id, text FROM {benchmark}").select("case_id", F.array_join(F.slice(words(F.col("text")), 1, 12), " ").alias("w"))
-    docs = view(spark, d, "SELECT doc_id, text FROM {documents}").select("doc_id", words(F.col("text")).alias("x"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("x") - 11, F.lit(1)))
-    windows = docs.select("doc_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("x", i, 12), " "))).alias("w"))
-    return windows.join(items, "w").select("case_id", F.concat(F.lit("doc:"), "doc_id").alias("item")).distinct()
+
+    def windows(key: str, sql: str):
+        x = view(spark, d, sql).select(key, words(F.col("text")).alias("x"))
+        starts = F.sequence(F.lit(1), F.greatest(F.size("x") - 11, F.lit(1)))
+        return x.select(key, F.explode(F.transform(starts, lambda i: F.array_join(F.slice("x", i, 12), " "))).alias("w"))
+
+    items = windows("case_id", "SELECT item_id AS case_id, text FROM {benchmark}").distinct()
+    found = windows("doc_id", "SELECT doc_id, text FROM {documents}")
+    return found.join(items, "w").select("case_id", F.concat(F.lit("doc:"), "doc_id").alias("item")).distinct()
 
 
 QUERIES = {f.__name__: f for f in (usage_rollup, usage_by_command, hit_rate, usage_verdict, recent_n, tail_trim, session_metrics, latest_session, percent_delta, recall_precision)}
@@ -104,11 +108,12 @@ ORACLES = {
     "latest_session": f"WITH t AS ({plain(v.TURNS)}) SELECT session_id FROM t WHERE contains(message, 'the') ORDER BY turn_at DESC, session_id DESC LIMIT 1",
     "percent_delta": f"WITH {_M}, b AS (SELECT session_id, words, lag(words) OVER (PARTITION BY session_id % 16 ORDER BY session_id) AS p FROM m) SELECT session_id, CASE WHEN p <> 0 THEN round((words - p)::DOUBLE / p * 100, 1) END AS delta FROM b",
     "recall_precision": rf"""WITH {ctes(corpus=v.CORPUS, tasks=v.TASKS)},
-b AS (SELECT DISTINCT node_id, t FROM (SELECT node_id, unnest(regexp_extract_all(lower(label || ' ' || body || ' ' || path), '[a-z0-9]+')) AS t FROM corpus) WHERE len(t) > 2),
-q AS (SELECT DISTINCT query_id, t FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) AS t FROM tasks) WHERE len(t) > 2),
+b AS (SELECT DISTINCT node_id, t FROM (SELECT node_id, unnest(regexp_extract_all(lower(strip_accents(label || ' ' || body || ' ' || path)), '[\pL\pN]+')) AS t FROM corpus) WHERE len(t) > 2),
+q AS (SELECT DISTINCT query_id, t FROM (SELECT query_id, unnest(regexp_extract_all(lower(strip_accents(query)), '[\pL\pN]+')) AS t FROM tasks) WHERE len(t) > 2),
 s AS (SELECT query_id, node_id, count(*) AS score FROM b JOIN q USING (t) GROUP BY ALL),
 got AS (SELECT query_id AS c, node_id AS i FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 8),
-it AS (SELECT item_id AS c, array_to_string(regexp_split_to_array(trim(text), '\s+')[1:12], ' ') AS w FROM benchmark),
+ix AS (SELECT item_id AS c, regexp_split_to_array(trim(text), '\s+') AS x FROM benchmark),
+it AS (SELECT DISTINCT c, array_to_string(x[i:i + 11], ' ') AS w FROM (SELECT c, x, unnest(range(1, greatest(len(x) - 11, 1) + 1)) AS i FROM ix)),
 x AS (SELECT doc_id, regexp_split_to_array(trim(text), '\s+') AS x FROM documents),
 dw AS (SELECT DISTINCT doc_id, array_to_string(x[i:i + 11], ' ') AS w FROM (SELECT doc_id, x, unnest(range(1, greatest(len(x) - 11, 1) + 1)) AS i FROM x)),
 e AS (SELECT DISTINCT c, 'doc:' || doc_id AS i FROM dw JOIN it USING (w)),

@@ -17,6 +17,15 @@ from ..sources import files
 from ..sources.files import Config
 
 
+def current_sources(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
+    """(path, hash) of what an index of the tree would hold now."""
+    config = config or Config()
+    every = files.scan(spark, root, config, all_suffixes=True)
+    in_records = F.col("path").startswith(config.records_dir.rstrip("/") + "/")
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return every.filter((in_records & (suffix == ".md")) | (~in_records & suffix.isin(config.suffixes))).select("path", "hash")
+
+
 def refresh(spark: SparkSession, root: str, folder: str, config: Config | None = None) -> dict[str, int]:
     """One incremental run: reads the newest snapshot below ``folder``, writes
     the next one beside it if anything changed. Returns counts by state."""
@@ -28,10 +37,7 @@ def refresh(spark: SparkSession, root: str, folder: str, config: Config | None =
     done = [s.getPath().getName() for s in fs.listStatus(top) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_COMPLETE"))]
     last = max((int(n[1:]) for n in done if n[1:].isdigit()), default=0)
     previous = Index.load(spark, f"{folder}/s{last:06d}") if last else None
-    every = files.scan(spark, root, config, all_suffixes=True)
-    in_records = F.col("path").startswith(config.records_dir.rstrip("/") + "/")
-    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    current = every.filter((in_records & (suffix == ".md")) | (~in_records & suffix.isin(config.suffixes))).select("path", "hash")
+    current = current_sources(spark, root, config)
     indexed = previous.sources if previous else spark.createDataFrame([], "path string, hash string")
     states = {r["state"]: r["count"] for r in snapshot_diff(indexed, current).groupBy("state").count().collect()}
     if previous is None or set(states) - {"same"}:

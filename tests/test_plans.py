@@ -235,3 +235,117 @@ def test_traverse_large_hub(spark):
         spark.createDataFrame([(1, "hub")], "query_id int, id string"), max_items=8,
     ).collect()
     assert {r.node for r in got} == {"hub", "z0", "z1", "z2", "z3", "z4", "a0000", "a0001"}
+
+
+def test_tokens_of_all_scripts(spark):
+    from evidgraph.functions.text import tokens
+
+    df = spark.createDataFrame([("Été señal Größe Ça_va x2", 1), ("e\u0301te\u0301 Привет 東京", 2), (None, 3)], "t string, i int")
+    got = {r.i: r.w for r in df.select("i", tokens(F.col("t")).alias("w")).collect()}
+    assert got == {1: ["ete", "senal", "große", "ca", "va", "x2"], 2: ["ete", "привет", "東京"], 3: None}
+
+
+def test_literal_fallback(spark):
+    from evidgraph.operators import search
+
+    docs = spark.createDataFrame([("a", "C++ notes", "x"), ("b", "y", "uses c++ here"), ("c", "cpp", "")], "node_id string, label string, body string")
+    asked = spark.createDataFrame([(1, "C++"), (2, "notes"), (3, " ")], "query_id int, query string")
+    assert sorted(r.node_id for r in search.containing(docs, asked.withColumn("query", F.when(F.col("query") == "C++", "++").otherwise(F.col("query")))).collect()) == ["a", "b"]
+
+
+def test_targets_outside_the_project(spark):
+    rec = spark.createDataFrame([("D-1", ["src/../../etc", "/abs", "src/../src/a.py", "src"], [], [])],
+                                "id string, targets array<string>, constraints array<string>, supersedes array<string>")
+    known = spark.createDataFrame([("src/a.py",)], "path string")
+    got = sorted((r.code, r.reference) for r in derive.broken_references(rec, known).collect())
+    assert got == [("LINK001", "src/../src/a.py"), ("LINK003", "/abs"), ("LINK003", "src/../../etc")]
+
+
+def test_strongest_edge_is_kept(spark):
+    from evidgraph.operators.resolve import strongest
+
+    rows = [("a", "b", "INFERRED", 0.75), ("a", "b", "EXTRACTED", 0.75), ("a", "b", "AMBIGUOUS", 0.5), ("a", "c", "INFERRED", 0.8)]
+    df = spark.createDataFrame(rows, "source string, target string, provenance string, confidence double")
+    got = sorted(tuple(r) for r in strongest(df, ["source", "target"]).collect())
+    assert got == [("a", "b", "EXTRACTED", 0.75), ("a", "c", "INFERRED", 0.8)]
+
+
+def test_resolution_leaves_the_caller_out(spark):
+    from evidgraph.operators.resolve import resolve_by_name
+
+    symbols = spark.createDataFrame([("s1", "f", "x"), ("s2", "f", "y"), ("s3", "f", "y"), ("s4", "g", "x")], "id string, label string, stem string")
+    calls = spark.createDataFrame([("s1", "f", None), ("s9", "f", "y"), ("s4", "g", None), ("s2", "f", None), ("s8", "h", None)], "source string, name string, alias_stem string")
+    got = {(r.source, r.name): (r.target, r.candidates, r.confidence, r.provenance) for r in resolve_by_name(calls, symbols).collect()}
+    assert got == {
+        ("s1", "f"): ("s2", 2, 0.5, "INFERRED"), ("s9", "f"): ("s2", 1, 1.0, "EXTRACTED"), ("s4", "g"): ("s4", 1, 0.9, "INFERRED"), ("s2", "f"): ("s1", 2, 0.5, "INFERRED")}
+
+
+def test_overlap_of_hot_and_equal_targets(spark):
+    rows = [(f"R{i:02d}", "d", ["hot"] + ([f"own{i}"] if i % 3 else [])) for i in range(12)] + [("Z", "other", ["hot"]), ("Y", "d", [])]
+    df = spark.createDataFrame(rows, "id string, kind string, targets array<string>")
+    want = set()
+    for i, (a, ka, ta) in enumerate(rows):
+        for b, kb, tb in rows[i + 1 :]:
+            shared, union = len(set(ta) & set(tb)), len(set(ta) | set(tb))
+            if ka == kb and union and shared / union >= 0.5:
+                want.add((min(a, b), max(a, b), shared))
+    assert {(r.a, r.b, r.shared) for r in derive.jaccard_pairs(df).collect()} == want
+
+
+def test_traverse_against_brute_force(spark):
+    """Walks over random graphs against a search of all simple orders by hand."""
+    import random
+
+    from evidgraph.schema import EDGE_WEIGHTS, TYPE_PRIORITY
+
+    rng = random.Random(4)
+    kinds, uses = list(TYPE_PRIORITY), list(EDGE_WEIGHTS)
+    nodes = [(f"n{i:02d}", rng.choice(kinds), f"l{i % 7}") for i in range(30)]
+    edges = list({(rng.choice(nodes)[0], rng.choice(nodes)[0], rng.choice(uses)) for _ in range(70)})
+    df = graph.traverse(spark.createDataFrame(edges, "source string, target string, type string"), spark.createDataFrame(nodes, "id string, type string, label string"),
+                        spark.createDataFrame([(q, f"n{q:02d}") for q in range(6)], "query_id int, id string"), 2, 8)
+    got: dict = {}
+    for r in df.collect():
+        got.setdefault(r.query_id, {})[r.node] = (r.score, r.distance)
+    info = {n: (TYPE_PRIORITY.get(t, 10), label) for n, t, label in nodes}
+    for q in range(6):
+        opened, settled, age = [(-1.0, 0, f"n{q:02d}", 0)], {}, 1
+        while opened and len(settled) < 8:
+            opened.sort()
+            s, _, here, depth = opened.pop(0)
+            if here in settled:
+                continue
+            settled[here] = (round(-s, 4), depth)
+            if depth == 2:
+                continue
+            out = [(y, EDGE_WEIGHTS[t], EDGE_WEIGHTS[t], t) for x, y, t in edges if x == here] + [(x, EDGE_WEIGHTS[t] * graph.REVERSE_FACTOR, EDGE_WEIGHTS[t], t) for x, y, t in edges if y == here]
+            for there, f, w, t in sorted(out, key=lambda e: (-e[2], *info[e[0]], e[0], e[3])):
+                opened.append((s * f, age, there, depth + 1))
+                age += 1
+        assert got[q] == settled
+
+
+def test_tools_answer_in_envelopes(spark, index, root, tmp_path):
+    from evidgraph.plans import serve
+
+    folder = str(tmp_path / "snap")
+    index.save(folder)
+    ask_ = lambda *a, **k: json.loads(serve.call(spark, *a, **k))
+    found = ask_(folder, "context", {"task": "how are orders placed"}, root=root)
+    assert found["ok"] and found["items"] and "stale_sources" not in found
+    with open(f"{root}/src/shop/extra.py", "w") as f:
+        f.write("x = 1\n")
+    os.utime(f"{root}/src/shop/base.py")
+    with open(f"{root}/src/shop/base.py", "a") as f:
+        f.write("# changed\n")
+    try:
+        late = ask_(folder, "impact", {"target": "src/shop/base.py"}, root=root)
+        assert late["stale_sources"] == ["src/shop/base.py"] and len(late["warnings"]) == 1 and late["dependents"]
+    finally:
+        os.remove(f"{root}/src/shop/extra.py")
+        _write(root, {"src/shop/base.py": FILES["src/shop/base.py"]})
+    assert ask_(folder, "path", {"source": "src/shop/orders.py", "target": "src/shop/base.py"})["hops"]
+    assert ask_(str(tmp_path / "none"), "flow", {"target": "x"})["error"]["code"] == "IDX001"
+    assert ask_(folder, "flow", {})["error"]["code"] == ask_(folder, "sing", {})["error"]["code"] == "ARG001"
+    assert [json.loads(x)["ok"] for x in serve.serve(spark, folder, ["{", json.dumps({"tool": "explain", "arguments": {"target": "DEC-1"}})])] == [False, True]
+    assert [t["name"] for t in serve.describe()] == ["context", "explain", "impact", "path", "flow"]
