@@ -129,3 +129,14 @@ def personal(text):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def rule_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    w = WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    often = {x for x, c in Counter(windows).items() if c > 1}
+    repeat = len({i + j for i, x in enumerate(windows) if x in often for j in range(5)})
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), repeat, len(w) < 10 or 100 * repeat > 20 * len(w)

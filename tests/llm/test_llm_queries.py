@@ -26,6 +26,13 @@ def test_query(spark, name):
         assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
+def test_op4_counts(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op4_quality_forest"](spark, SF).collect()
+    assert {r.doc_id: tuple(r)[1:7] for r in rows} == {d: brute.rule_counts(t) for d, t in texts.items()}
+    assert not any(r.kept and r.base_failed for r in rows)
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     first = docs.columns

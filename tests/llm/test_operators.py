@@ -325,6 +325,18 @@ def test_statistics():
     assert quality.text_statistics(None) == quality.text_statistics(" \n") == (0,) * len(quality.COUNTS + quality.EXTRA)
 
 
+def test_quality_counts(spark, docs, texts, odd):
+    """Base counts and verdicts, awkward rows and long texts among them."""
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    long = ["a b " * 50_000, "line #\n" * 50_000, "\u00a0 \u2003 é|ü\x1c\x0b\x0c\r ", "a b c d e", "w" * 1_000_000]
+    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(long)], "doc_id long, text string")
+    got = table(quality.quality_verdicts(docs.select("doc_id", "text").union(more), labels), *cols)
+    assert got == sorted(((i, *brute.rule_counts(t)) for i, t in [*enumerate(texts), *((1000 + i, t) for i, t in enumerate(long))]), key=repr)
+    want = [(r.doc_id, *brute.rule_counts(r.text)) for r in odd.collect()]
+    assert table(quality.quality_verdicts(odd, labels), *cols) == sorted(want, key=repr)
+
+
 def test_quality(spark, empty):
     rng = random.Random(9)
     rows, labels = [], []
