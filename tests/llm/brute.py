@@ -140,3 +140,18 @@ def rule_counts(text):
     repeat = len({i + j for i, x in enumerate(windows) if x in often for j in range(5)})
     symbols = sum(c in "#*$%&|<>" for c in text or "")
     return len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), repeat, len(w) < 10 or 100 * repeat > 20 * len(w)
+
+
+def targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """Source -> target: whoever is above its limit gets it, the rest is shared anew."""
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    out, left, free = {}, share * sum(sizes.values()), set(sizes)
+    while free:
+        total = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / total > most * sizes[s]}
+        if not over:
+            return out | {s: left * weight[s] / total for s in free}
+        out |= {s: float(most * sizes[s]) for s in over}
+        left -= sum(out[s] for s in over)
+        free -= over
+    return out

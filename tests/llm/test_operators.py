@@ -240,6 +240,12 @@ def test_source_targets(spark):
     df = spark.createDataFrame([("a", 100), ("b", 10), (None, 40), ("c", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(df).collect()}
     assert got["c"] == 0 and abs(sum(got.values()) - 225) < 1e-9 and got["b"] <= 20 and got[None] <= 80
+    rng = random.Random(4)
+    for n in (1, 2, 5, 9):
+        sizes = {**{chr(97 + i): rng.choice([0, 1, 10, 500, 9000]) for i in range(n - 1)}, None: rng.randint(1, 300)}
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+        assert got == pytest.approx(brute.targets(sizes))
 
 
 @pytest.fixture(scope="module")
