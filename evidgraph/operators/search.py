@@ -22,10 +22,13 @@ K1, B = 1.2, 0.75
 
 
 def postings(documents: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(node_id, term, f, c): weighted and plain term frequency over the indexed columns."""
+    """(node_id, term, f, c): weighted and plain term frequency over the indexed
+    columns. Texts are dealt out by document, so splitting runs in parallel
+    however few splits the source has, and counting needs no further exchange."""
     weights = weights or WEIGHTS
     parts = [_weighted(c, w) for c, w in weights.items()]
-    exploded = documents.select("node_id", F.explode(F.concat(*parts)).alias("x"))
+    dealt = documents.select("node_id", *weights).repartition("node_id")
+    exploded = dealt.select("node_id", F.explode(F.concat(*parts)).alias("x"))
     return exploded.groupBy("node_id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("f"), F.count(F.lit(1)).alias("c"))
 
 
