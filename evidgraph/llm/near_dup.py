@@ -9,12 +9,16 @@ with similarity s meets in some table with probability
 
 Documents with equal shingle sets form one class from the start. In each
 table's bucket every class is compared with one representative, on the full
-shingle sets. Buckets that then still hold several components are compared
-through: dealt out in blocks, every pair of two components that meets there, at
-the first table the two share, is compared inside the task that holds both
-blocks, and only links that join two components leave it. So no two classes
-that met and that their sizes admit stay uncompared, unless links join them
-already, and no pairs are ever written out. Sets of up to ``SKETCH`` shingles
+shingle sets. Classes of buckets with more members are then compared through,
+dealt out by the half keys of the first collection, of which any two classes
+that met share one. Of a half key's classes those of its most frequent component
+are its main ones; the others, a minority, meet each other and the main ones,
+block by block. Two classes of different components are compared at the first
+half key they share, if they share one of the second collection too, inside the
+task that holds both blocks, and only links that join two components leave it.
+So no two classes that met and that their sizes admit stay uncompared, unless
+links join them already, and no pairs are ever written out; joins make one row a
+class. Sets of up to ``SKETCH`` shingles
 are compared there in full; of longer ones the least ``SKETCH`` hashes tell the
 similarity to within 0.01, and pairs within ``SLACK`` of the threshold go to
 the confirmation on full sets.
@@ -41,8 +45,8 @@ SKETCH = 2048
 SLACK = 0.05
 #: Sets up to this size are compared as Python sets, larger ones as sorted arrays.
 _SMALL = 512
-#: Classes of a bucket in a block; two blocks meet in one task.
-BLOCK = 512
+#: Classes of a half key in a block; two blocks meet in one task.
+BLOCK = 128
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -136,15 +140,16 @@ _PAIRS = "u long, v long, sure boolean"
 
 
 def _through(tables: int, percent: int):
-    """Compares the classes of each block pair (key, lo, hi), whose rows follow
-    one another, and yields links that join two components: ``sure`` ones as
-    found on whole sets, others to be confirmed."""
+    """Compares the classes of each block pair (h, lo, hi), whose rows follow
+    one another with block lo first, and yields links that join two components:
+    ``sure`` ones as found on whole sets, others to be confirmed."""
 
     def block(rows: list[tuple]) -> list[tuple[int, int, bool]]:
-        node, n, own = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 6))
+        node, n, comps = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5))
         halves = np.array([r[7] for r in rows], np.int64)
         a, b = halves[:, :tables], halves[:, tables:]
-        key, alone = rows[0][0], rows[0][1] == rows[0][2]
+        h, lo, hi = rows[0][:3]
+        first = sum(r[6] == lo for r in rows) if lo != hi else len(rows) - 1
         sets = [r[8] if len(r[8]) > _SMALL else frozenset(r[8].tolist()) for r in rows]
         root = {r[5]: r[5] for r in rows}
 
@@ -154,20 +159,14 @@ def _through(tables: int, percent: int):
                 x = root[x]
             return x
 
-        label = [r[5] for r in rows]
-        comps = np.array(label, np.int64)
         out = []
-        for i in range(len(rows) - 1):
-            js = np.arange(i + 1, len(rows))
+        for i in range(first):
+            js = np.arange(first if lo != hi else i + 1, len(rows))
             js = js[(comps[js] != comps[i]) & (100 * np.minimum(n[i], n[js]) >= percent * np.maximum(n[i], n[js]))]
-            if not alone:
-                js = js[own[js] != own[i]]
-            if not len(js):
-                continue
-            same_a, same_b = a[js] == a[i], b[js] == b[i]
-            here = (a[i][same_a.argmax(1)] == rows[i][9]) & (b[i][same_b.argmax(1)] == rows[i][10])
-            for j in js[here].tolist():
-                p, q = find(label[i]), find(label[j])
+            js = js[(b[js] == b[i]).any(1)]
+            js = js[a[i][(a[js] == a[i]).argmax(1)] == h]
+            for j in js.tolist():
+                p, q = find(rows[i][5]), find(rows[j][5])
                 if p == q:
                     continue
                 sure, near = _alike(sets[i], sets[j], int(n[i]), int(n[j]), percent)
@@ -182,12 +181,11 @@ def _through(tables: int, percent: int):
         links: list[tuple[int, int, bool]] = []
         for batch in batches:
             least = batch.column(8)
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 6)]
+            columns = [batch.column(i).to_pylist() for i in range(7)]
             halves = batch.column(7)
             halves = halves.flatten().to_numpy().reshape(len(halves), -1)
-            ab = [batch.column(i).to_pylist() for i in (9, 10)]
             for k in range(batch.num_rows):
-                row = (*(c[k] for c in columns), halves[k], least[k].values.to_numpy(), ab[0][k], ab[1][k])
+                row = (*(c[k] for c in columns), halves[k], least[k].values.to_numpy())
                 if rows and row[:3] != rows[0][:3]:
                     links += block(rows)
                     rows = []
@@ -225,29 +223,39 @@ def _array(x: np.ndarray | frozenset) -> np.ndarray:
     return np.fromiter(x, np.int64, len(x)) if isinstance(x, frozenset) else x
 
 
-def _compared_through(
-    keys: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame, tables: int, percent: int
-) -> DataFrame:
-    """Links (u, v) that join components of ``found`` inside the buckets of ``keys``."""
-    member = settle(keys.join(found, "node", "left").select("key", "a", "b", "node", "n", F.coalesce("component", "node").alias("c")), "members")
-    crowd = (
-        member.groupBy("key").agg(F.min("c").alias("lo_c"), F.max("c").alias("hi_c"), F.count(F.lit(1)).alias("m"))
-        .filter("lo_c <> hi_c").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+def _compared_through(crowded: DataFrame, found: DataFrame, sets: DataFrame, tables: int, percent: int) -> DataFrame:
+    """Links (u, v) that join components of ``found`` among the classes
+    ``crowded`` (node, n, halves) that share a bucket."""
+    member = settle(
+        crowded.join(found, "node", "left").select("node", "n", "halves", F.coalesce("component", "node").alias("c")), "members"
+    )
+    at = member.select("node", "c", F.explode(F.slice("halves", 1, tables)).alias("h"))
+    parts = at.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("h").agg(
+        F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("all")
+    )
+    blocks = settle(
+        parts.filter("all > 2 AND all > top.m").select(
+            "h", F.col("top.c").alias("main"),
+            F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("minor"),
+            F.ceil(F.col("top.m") / BLOCK).cast("int").alias("major"),
+        ),
+        "blocks",
     )
-    mixed = settle(member.join(crowd, "key"), "mixed")
-    discard(member)
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    halves = classes.select("node", "halves")
-    sketch = sets.select("node", F.slice("s", 1, SKETCH).alias("s"))
+    # one row a class up to here, with its half keys in a list: what is dealt out is made from it without a join
+    lists = settle(at.join(blocks, "h").groupBy("node").agg(F.collect_list(F.struct("h", "main", "minor", "major")).alias("g")), "lists")
+    whole = member.join(lists, "node").join(sets.select("node", F.slice("s", 1, SKETCH).alias("s")), "node")
+    minor, major, main = F.col("g.minor"), F.col("g.major"), F.col("g.main") == F.col("c")
+    dealt = F.xxhash64("node")
     placed = (
-        mixed.join(halves, "node").join(sketch, "node").withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        whole.select("node", "n", "c", "halves", "s", F.explode("g").alias("g"))
+        .withColumn("own", F.when(main, minor + F.pmod(dealt, major)).otherwise(F.pmod(dealt, minor)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, minor).otherwise(minor + major) - 1)))
         .select(
-            "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-            "node", "n", "c", "own", "halves", "s", "a", "b",
+            F.col("g.h").alias("h"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+            "node", "n", "c", "own", "halves", "s",
         )
     )
-    dealt = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    dealt = placed.repartition("h", "lo", "hi").sortWithinPartitions("h", "lo", "hi", "own")
     links = settle(dealt.mapInArrow(_through(tables, percent), _PAIRS), "through")
     open_ = settle(links.filter("NOT sure").select("u", "v").distinct(), "unsure")
     return settle(links.filter("sure").select("u", "v").union(_links(open_, sets, percent)).distinct(), "more-links")
@@ -286,33 +294,34 @@ def near_duplicates(
     keys = settle(
         kept.select("node", "n", F.explode("a").alias("a"), "b")
         .select("node", "n", F.explode("b").alias("b"), "a")
-        .select(F.xxhash64("a", "b").alias("key"), "a", "b", "node", "n"),
+        .select(F.xxhash64("a", "b").alias("key"), "node", "n"),
         "keys",
     )
-    fits = (F.least("n", "rn") * 100 >= F.greatest("n", "rn") * percent)
     reps = settle(
         keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("r"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-        .select("key", F.col("r.node").alias("rep"), F.col("r.n").alias("rn")),
+        .select("key", F.col("r.node").alias("rep"), F.col("r.n").alias("rn"), (F.col("c") > 2).alias("crowd")),
         "representatives",
     )
+    met = settle(
+        keys.join(reps, "key").groupBy("rep", "rn", "node", "n").agg(F.max("crowd").alias("crowd")), "met"
+    )
+    discard(keys, reps, shared)
+    fits = (F.least("n", "rn") * 100 >= F.greatest("n", "rn") * percent)
     pairs = settle(
-        keys.join(reps, "key").filter((F.col("node") != F.col("rep")) & fits)
-        .select(F.col("rep").alias("u"), F.col("node").alias("v")).distinct(),
-        "pairs",
+        met.filter((F.col("node") != F.col("rep")) & fits).select(F.col("rep").alias("u"), F.col("node").alias("v")), "pairs"
     )
     crowded = settle(
-        keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 2").select("key"), "crowded"
+        classes.select("node", "n", "halves").join(met.filter("crowd").select("node").distinct(), "node"), "crowded"
     )
-    keys = settle(keys.join(crowded, "key"), "crowded-keys")
     nodes = settle(
-        pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(keys.select("node")).distinct(), "nodes"
+        pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(crowded.select("node")).distinct(), "nodes"
     )
     # the candidates grow with the documents, so this is a merge join at every size
     texts = base.join(nodes.hint("merge"), base["doc_id"] == nodes["node"]).select("node", "text")
     sets = settle(texts.mapInArrow(_sets(width), "node long, s array<long>"), "sets")
     links = settle(_links(pairs, sets, percent), "links")
     found = settle(components(links), "components")
-    more = _compared_through(keys, found, classes, sets, tables, percent)
+    more = _compared_through(crowded, found, sets, tables, percent)
     if not more.isEmpty():
         found = settle(components(links.union(more)), "components")
     named = settle(

@@ -100,6 +100,30 @@ def test_near_duplicates_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, width=2).collect()} == want
 
 
+def test_near_duplicates_rows_of_a_large_group(spark, monkeypatch):
+    """What is compared through has a row for each class, not for each bucket a
+    class is in, and finds the links that no representative has."""
+    rng, made, settle = random.Random(7), {}, near_dup.settle
+    first = [f"w{i}" for i in range(200)]
+    texts = []
+    for v in range(120):
+        words = list(first)
+        for k in range(0, 8 if v < 100 else 16):
+            words[rng.randrange(0, 200)] = f"v{v}x{k}"
+        texts.append(" ".join(words))
+    want = brute.near_groups(list(enumerate(texts)), 2)
+
+    def counted(df, name):
+        out = settle(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "settle", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, width=2).collect()} == want
+    assert 0 < made["members"] <= len(texts) and 0 < made["through"]
+
+
 def test_least_hashes_of_long_sets():
     """Long sets: no pair at the threshold is lost, distant ones are not confirmed."""
     rng = np.random.default_rng(2)
