@@ -28,6 +28,8 @@ from .common import discard, read, settle
 
 #: Widths of the offset ranges at each level of the recursion below the root.
 WIDTHS = (21, 5, 1)
+#: Rows or bytes that a Python task gathers before it yields, whatever its input batch holds.
+BATCH_ROWS, BATCH_BYTES = 100_000, 4 << 20
 _U = np.uint64
 
 
@@ -53,7 +55,7 @@ def _salt(*parts: np.ndarray) -> np.ndarray:
 def _find_anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids, parts = batch.column(0).to_numpy(), ([], [], [], [])
+            rids, parts, found = batch.column(0).to_numpy(), ([], [], [], []), 0
             for rid, text in zip(rids, batch.column(1), strict=True):
                 data = text.as_py().encode()
                 if len(data) < length:
@@ -65,53 +67,36 @@ def _find_anchors(length: int, gram: int):
                 hull = w.hash(pos - high, pos - low + length) ^ _salt(low, high)
                 for part, x in zip(parts, (np.full(len(pos), rid), pos.astype(np.int32), grams[pos].view(np.int64), hull.view(np.int64)), strict=True):
                     part.append(x)
+                found += len(pos)
+                if found >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["rid", "pos", "g", "e"])
+                    parts, found = ([], [], [], []), 0
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["rid", "pos", "g", "e"])
 
     return run
 
 
-def _contexts(length: int, gram: int):
-    """The bytes around each anchor that any of its windows can reach."""
-    reach = length - gram
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rids, where, at, low, high, bits = [], [], [], [], [], []
-            for rid, text, pos in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                data = text.as_py().encode()
-                p = np.unique(np.asarray(pos.values, np.int64))
-                lo, hi = _valid(p, len(data), length, gram)
-                for k, a, b in zip(p.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    start = max(0, k - reach)
-                    rids.append(rid)
-                    where.append(k)
-                    at.append(k - start)
-                    low.append(a)
-                    high.append(b)
-                    bits.append(data[start : k + length])
-                if len(rids) >= 20_000:
-                    yield _context_batch(rids, where, at, low, high, bits)
-                    rids, where, at, low, high, bits = [], [], [], [], [], []
-            if rids:
-                yield _context_batch(rids, where, at, low, high, bits)
-
-    return run
-
-
-def _context_batch(rids, where, at, low, high, bits) -> pa.RecordBatch:
-    ints = [pa.array(x, pa.int32()) for x in (where, at, low, high)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rids, pa.int64()), *ints, pa.array(bits, pa.binary())], ["rid", "pos", "at", "low", "high", "bytes"]
+def _contexts(placed: DataFrame, length: int, gram: int) -> DataFrame:
+    """The bytes around each anchor that any of its windows can reach, cut by
+    Spark from (rid, text, pos): no texts pass through Python."""
+    pos, n = F.col("pos"), F.octet_length("text")
+    start = F.greatest(F.lit(0), pos - (length - gram))
+    return placed.select("rid", "text", F.explode("pos").alias("pos")).select(
+        "rid", "pos", (pos - start).cast("int").alias("at"),
+        F.greatest(F.lit(0), pos + length - n).cast("int").alias("low"),
+        F.least(F.lit(length - gram), pos).cast("int").alias("high"),
+        F.col("text").cast("binary").substr(start + 1, pos + length - start).alias("bytes"),
     )
 
 
 def _split(length: int, level: int, width: int):
     """Rows (rid, pos, lo, hi, start, end, core, hull) for the ranges of
     ``width`` offsets inside each anchor's open ranges."""
+    step = max(1, BATCH_ROWS // (length // width + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             data = b"".join(batch.column("bytes").to_pylist())
             sizes = np.array([len(x.as_buffer()) for x in batch.column("bytes")], np.int64)
             if not len(sizes):
@@ -176,10 +161,7 @@ def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 100) -> Data
     )
     discard(repeated, classes, mixed, alike)
     around = settle(
-        rows.join(members, "rid").select("rid", "text", "pos").mapInArrow(
-            _contexts(length, gram), "rid long, pos int, at int, low int, high int, bytes binary"
-        ),
-        "contexts",
+        _contexts(rows.join(members, "rid").select("rid", "text", "pos"), length, gram), "contexts"
     )
     discard(members)
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(length - gram).alias("hi")))
@@ -213,11 +195,19 @@ def repeated_ranges(docs: DataFrame, length: int = 200, gram: int = 100) -> Data
     return out
 
 
+_KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
 def _cut(length: int, gram: int):
+    def out_batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, spans, digest, kept = [], [], [], [], []
-            for text, starts, ends in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            rows, held = [], 0
+            for doc, text, starts, ends in zip(*(batch.column(i) for i in range(4)), strict=True):
                 data = text.as_py().encode()
                 gone, runs, rest = 0, 0, data
                 if starts.is_valid and len(starts.values):
@@ -233,15 +223,13 @@ def _cut(length: int, gram: int):
                     gone = int(out.sum())
                     runs = int(out[0]) + int((out[1:] & ~out[:-1]).sum())
                     rest = np.frombuffer(data, np.uint8)[~out].tobytes()
-                n.append(len(data))
-                removed.append(gone)
-                spans.append(runs)
-                digest.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
+                rows.append((doc.as_py(), len(data), gone, runs, hashlib.sha256(rest).hexdigest(), rest))
+                held += len(rest)
+                if held >= BATCH_BYTES:
+                    yield out_batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out_batch(rows)
 
     return run
 
@@ -255,9 +243,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 100) -> DataF
     ranges = repeated_ranges(docs, length, gram)
     marks = ranges.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("m"))
     joined = _rows(docs).join(marks, "rid", "left").select("doc_id", "text", F.col("m.start").alias("s"), F.col("m.end").alias("e"))
-    return joined.mapInArrow(
-        _cut(length, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    )
+    return joined.mapInArrow(_cut(length, gram), _KEPT)
 
 
 def op3_bucket_refinement(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -185,6 +186,20 @@ def test_repeats_random(spark):
     assert got == dict(enumerate(brute.repeats(texts, 200)))
 
 
+def test_repeats_in_small_batches():
+    """What a Python task gathers does not grow with its input batch."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(400_000)) for _ in range(40)]
+    none = pa.array([None] * 40, pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts), none, none], ["doc_id", "text", "s", "e"])
+    cut = list(suffix_dedup._cut(200, 100)(iter([batch])))
+    assert max(b.nbytes for b in cut) < 8_000_000
+    assert [x for b in cut for x in b.column(5).to_pylist()] == [t.encode() for t in texts]
+    found = list(suffix_dedup._find_anchors(200, 100)(iter([batch])))
+    assert max(b.num_rows for b in found) < 200_000
+    assert {x for b in found for x in b.column(0).to_pylist()} == set(range(40))
+
+
 def test_anchor_kernel():
     rng = np.random.default_rng(2)
     g = rng.integers(0, 6, 400).astype(np.uint64)
