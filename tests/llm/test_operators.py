@@ -125,6 +125,31 @@ def test_near_duplicates_rows_of_a_large_group(spark, monkeypatch):
     assert 0 < made["members"] <= len(texts) and 0 < made["through"]
 
 
+def test_pipeline_rows_of_a_large_group(spark, monkeypatch):
+    """The pipeline's stage compares five-word sets with a row for each class too."""
+    import corpus_pipeline
+
+    rng, made, settle = random.Random(9), {}, near_dup.settle
+    texts = []
+    for v in range(90):
+        words = [f"w{i}" for i in range(200)]
+        for k in range(2 + v % 3):
+            words[rng.randrange(0, 200)] = f"v{v}x{k}"
+        texts.append(" ".join(words))
+    want = brute.near_groups(list(enumerate(texts)), 5)
+
+    def counted(df, name):
+        out = settle(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "settle", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert got == {d for d, c in want.items() if d == c}
+    assert 0 < made["members"] <= len(texts)
+
+
 def test_least_hashes_of_long_sets():
     """Long sets: no pair at the threshold is lost, distant ones are not confirmed."""
     rng = np.random.default_rng(2)
