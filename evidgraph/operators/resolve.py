@@ -157,15 +157,27 @@ def config_references(references: DataFrame, keys: DataFrame, max_targets: int =
     return found.groupBy("source", "target").agg(F.min("evidence").alias("evidence")).withColumn("confidence", F.lit(0.65))
 
 
-def tightest_enclosing(points: DataFrame, ranges: DataFrame, key: str = "rel", bin_width: int = 64) -> DataFrame:
+def tightest_enclosing(points: DataFrame, ranges: DataFrame, key: str = "rel") -> DataFrame:
     """Each point (key, point_id, at) with the id of the shortest range
     (key, id, start, stop) around it, the first by start on a tie; null if none.
-    Ranges are cut into bins of ``bin_width``, so the join is on equal bins."""
-    cut = ranges.select(key, "id", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("stop") / bin_width))).alias("bin"))
-    placed = points.withColumn("bin", F.floor(F.col("at") / bin_width))
-    around = placed.join(cut, [key, "bin"]).filter((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("stop")))
-    best = around.groupBy(key, "point_id").agg(F.min(F.struct((F.col("stop") - F.col("start")).alias("span"), "start", "id")).alias("b"))
-    return points.join(best, [key, "point_id"], "left").select(key, "point_id", "at", F.col("b.id").alias("enclosing"))
+
+    A range is the union of aligned blocks of 2^k places, two a level at most. A
+    block keeps its best range and a place reads the one block a level that holds
+    it, so work grows with ranges and places, not with the ranges around a place."""
+    valid = ranges.filter(F.col("stop") >= F.col("start")).groupBy(key, "start", "stop").agg(F.min("id").alias("id"))
+    top = F.floor(F.log2(F.col("stop") - F.col("start") + 1)).cast("int") + 1  # one more level than needed: log2 rounds
+    low, high = F.expr("-shiftright(-CAST(start AS BIGINT), level)"), F.expr("shiftright(CAST(stop AS BIGINT) + 1, level)")  # whole blocks [low, high) inside
+    levels = valid.select(key, "start", "stop", "id", F.explode(F.sequence(F.lit(0), top)).alias("level")).select(
+        key, "start", "stop", "id", "level", low.alias("low"), high.alias("high")).filter("low < high")
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+    ends = F.filter(F.array(F.when(odd("low"), F.col("low")), F.when(odd("high"), F.col("high") - 1)), lambda x: x.isNotNull())
+    best = F.min(F.struct((F.col("stop") - F.col("start")).alias("span"), "start", "id")).alias("b")
+    blocks = levels.withColumn("block", F.explode(ends)).groupBy(key, "level", "block").agg(best)
+    highest = valid.agg(F.max(top).alias("highest"))  # one row
+    places = points.select(key, "at").distinct().crossJoin(F.broadcast(highest))
+    asked = places.select(key, "at", F.explode(F.sequence(F.lit(0), "highest")).alias("level")).withColumn("block", F.expr("shiftright(CAST(at AS BIGINT), level)"))
+    around = asked.join(blocks, [key, "level", "block"]).groupBy(key, "at").agg(F.min("b").alias("b"))
+    return points.join(around, [key, "at"], "left").select(key, "point_id", "at", F.col("b.id").alias("enclosing"))
 
 
 def ancestors(path: Column) -> Column:
