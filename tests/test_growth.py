@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from evidgraph.operators import resolve
+from evidgraph.operators import derive, resolve
 
 
 def _children(plan):
@@ -48,3 +48,25 @@ def test_ranges_around_one_place_are_not_listed(spark):
     df = resolve.tightest_enclosing(points, ranges)
     assert {r.enclosing for r in df.collect()} == {0}  # all spans are 600; the first start, then the least id
     assert joined_rows(df) < 50_000
+
+
+def test_overlapping_targets_against_brute_force(spark):
+    """Short and long sets, hot targets and more equal sets than one row lists."""
+    rnd = random.Random(3)
+    rows = [(f"R{i:04d}", rnd.choice("de"), rnd.sample([f"t{k}" for k in range(14)], rnd.choice([0, 1, 2, 3, 5, 8, 9, 12]))) for i in range(220)]
+    rows += [(f"S{i:04d}", "f", ["one"]) for i in range(1100)] + [("T1", "f", ["one", "two"]), ("T2", "f", ["one", "two", "three"]), ("T3", "f", ["two", "one", "one"])]
+    want = set()
+    for i, (a, ka, ta) in enumerate(rows):
+        for b, kb, tb in rows[i + 1 :]:
+            if ka == kb and (union := set(ta) | set(tb)) and len(set(ta) & set(tb)) / len(union) >= 0.5:
+                want.add((min(a, b), max(a, b), len(set(ta) & set(tb))))
+    df = derive.jaccard_pairs(spark.createDataFrame(rows, "id string, kind string, targets array<string>"))
+    got = [(r.a, r.b, r.shared) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_are_made_from_few_joined_rows(spark):
+    rows = [(f"R{i:05d}", "decision", "x", "stable", ["t"], [f"R{i - 1:05d}"] if i % 8 else []) for i in range(900)]
+    df = derive.conflicts(spark.createDataFrame(rows, "id string, type string, title string, status string, targets array<string>, supersedes array<string>"))
+    assert len(df.collect()) == 900 * 899 // 2 - 112 * 28 - 6  # all but those in a chain of eight, and of four at the end
+    assert joined_rows(df) < 5000
