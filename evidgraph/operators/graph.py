@@ -29,6 +29,21 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return forward.unionByName(backward)
 
 
+#: A frontier of up to so many nodes goes to the edges; a larger one is joined with them.
+_FEW = 10_000
+
+
+def _around(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The adjacency of a settled frontier's nodes (node). A small frontier picks
+    its edges where they are read, before anything of them is exchanged."""
+    ids = frontier.select("node").distinct()
+    if frontier.limit(_FEW + 1).count() > _FEW:
+        return adjacency(edges).join(ids.withColumnRenamed("node", "here"), "here", "left_semi")
+    own = lambda end: edges.join(F.broadcast(ids.withColumnRenamed("node", end)), end, "left_semi")
+    forward = own("source").select(F.col("source").alias("here"), F.col("target").alias("there"), "type", F.lit(True).alias("forward"))
+    return forward.unionByName(own("target").select(F.col("target").alias("here"), F.col("source").alias("there"), "type", F.lit(False).alias("forward")))
+
+
 def neighbors(edges: DataFrame, nodes: DataFrame, of: DataFrame) -> DataFrame:
     """The neighbours of the nodes (id): (id, neighbor, neighbor_type, edge_type, forward)."""
     near = adjacency(edges).join(of.select(F.col("id").alias("here")), "here")
@@ -91,12 +106,11 @@ def bfs(edges: DataFrame, starts: DataFrame, max_hops: int = 8) -> DataFrame:
     """(start, node, distance, parent): undirected shortest distances over all
     edge types up to ``max_hops``; of equal parents the smallest id. Each level
     joins only the frontier and drops what is settled."""
-    near = adjacency(edges).select("here", "there").distinct()
     settled = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"))
     settled = frontier = settle(settled, "bfs")
     for hop in range(1, max_hops + 1):
         step = (
-            frontier.select("start", F.col("node").alias("here")).join(near, "here")
+            _reached(edges, frontier)
             .groupBy("start", F.col("there").alias("node")).agg(F.min("here").alias("parent"))
             .join(settled.select("start", "node"), ["start", "node"], "left_anti")
             .select("start", "node", F.lit(hop).alias("distance"), "parent")
@@ -108,25 +122,58 @@ def bfs(edges: DataFrame, starts: DataFrame, max_hops: int = 8) -> DataFrame:
     return settled
 
 
+def _reached(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(start, here, there): one step from a settled frontier (start, node)."""
+    few = frontier.limit(_FEW + 1).count() <= _FEW
+    at = frontier.select("start", F.col("node").alias("here"))
+    near = _around(edges, frontier) if few else adjacency(edges)
+    return near.select("here", "there").join(F.broadcast(at) if few else at, "here")
+
+
 def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 8) -> list[str]:
-    """Node ids from source to target, or []. The walk back reads one
-    parent a hop."""
-    spark = edges.sparkSession
+    """Node ids from source to target, or []; of equal paths the one with
+    the least node before the target, then before that one, and so on.
+
+    Both ends search, the one with the smaller frontier next, until a node is
+    met by both. On the nodes that lie on a shortest path, the least parents
+    then lead from the target back to the source."""
     if source == target:
         return [source]
-    tree = bfs(edges, spark.createDataFrame([(source,)], "id string"), max_hops)
-    path, at = [], target
-    for _ in range(max_hops + 1):
-        row = tree.filter(F.col("node") == at).select("parent").head()
-        if row is None:
+    spark = edges.sparkSession
+    seen, levels = [], []
+    for end in (source, target):
+        seen.append(spark.createDataFrame([(end,)], "node string"))
+        levels.append([seen[-1]])
+    sizes = [1, 1]
+    for _ in range(max_hops):
+        side = min((0, 1), key=lambda i: (sizes[i], len(levels[i])))
+        at = levels[side][-1].select("node").distinct().withColumn("start", F.lit(side))
+        step = _reached(edges, at).select(F.col("there").alias("node"), F.col("here").alias("link")).distinct()
+        step = settle(step.join(seen[side], "node", "left_anti"), "path")
+        sizes[side] = step.select("node").distinct().count()
+        if not sizes[side]:
             return []
-        path.append(at)
-        if row["parent"] is None:
-            return path[::-1]
-        at = row["parent"]
+        levels[side].append(step)
+        seen[side] = seen[side].unionByName(step.select("node").distinct())
+        met = step.select("node").distinct().join(levels[1 - side][-1].select("node").distinct(), "node", "left_semi")
+        if not met.isEmpty():
+            return _walk_back(levels, met, target)
     return []
 
 
+def _walk_back(levels: list[list[DataFrame]], met: DataFrame, target: str) -> list[str]:
+    """The path from levels (node, link) of both ends: a link is one step nearer to its end."""
+    ahead, on = [], met
+    for level in reversed(levels[1][1:]):  # from the nodes met to the target
+        on = settle(level.join(on, "node", "left_semi").select(F.col("link").alias("node"), F.col("node").alias("link")).distinct(), "path")
+        ahead.append(on)
+        on = on.select("node").distinct()
+    path = [target]
+    for level in [*reversed(ahead), *reversed(levels[0][1:])]:
+        path.append(level.filter(F.col("node") == path[-1]).agg(F.min("link")).head()[0])
+    return path[::-1]
+
+
 def path_hops(edges: DataFrame, path: list[str]) -> DataFrame:
     """The edge behind each hop of a path: (hop, here, there, type, forward, provenance, confidence)."""
     spark = edges.sparkSession
@@ -153,20 +200,21 @@ def weighted_reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_dep
     fewest edges that reach it. Seeds are (query_id, id). A node first reached
     strongly at full depth may still be passed through by a weaker, shorter
     walk; ``traverse`` settles that exactly."""
-    step = adjacency(edges.filter(F.col("type").isin(list(EDGE_WEIGHTS)))).select(
-        "here", "there", (edge_weight(F.col("type")) * F.when(F.col("forward"), F.lit(1.0)).otherwise(F.lit(REVERSE_FACTOR))).alias("w")
-    ).groupBy("here", "there").agg(F.max("w").alias("w"))
-    step = settle(step.join(nodes.select(F.col("id").alias("there")), "there", "left_semi"), "steps")
+    weighted = edges.filter(F.col("type").isin(list(EDGE_WEIGHTS)))
+    known = nodes.select(F.col("id").alias("node"))
+    weight = edge_weight(F.col("type")) * F.when(F.col("forward"), F.lit(1.0)).otherwise(F.lit(REVERSE_FACTOR))
     level = seeds.select("query_id", F.col("id").alias("node"), F.lit(1.0).alias("strength"), F.lit(0).alias("distance")).distinct()
     found = level = settle(level, "reach")
     for hop in range(1, max_depth + 1):
+        step = _around(weighted, level).select(F.col("here").alias("node"), "there", weight.alias("w"))
         level = settle(
-            level.join(step, level["node"] == step["here"])
+            level.join(step, "node")
             .groupBy("query_id", F.col("there").alias("node"))
             .agg(F.max(F.col("strength") * F.col("w")).alias("strength"))
             .withColumn("distance", F.lit(hop)),
             "reach",
         )
+        level = level.join(known, "node", "left_semi") if hop == max_depth else settle(level.join(known, "node", "left_semi"), "reach")
         found = found.unionByName(level)
     return found.groupBy("query_id", "node").agg(
         F.max("strength").alias("strength"), F.max_by("distance", F.struct("strength", -F.col("distance"))).alias("distance")

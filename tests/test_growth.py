@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from evidgraph.operators import derive, resolve
+from evidgraph.operators import derive, graph, resolve
 
 
 def _children(plan):
@@ -70,3 +70,41 @@ def test_pairs_are_made_from_few_joined_rows(spark):
     df = derive.conflicts(spark.createDataFrame(rows, "id string, type string, title string, status string, targets array<string>, supersedes array<string>"))
     assert len(df.collect()) == 900 * 899 // 2 - 112 * 28 - 6  # all but those in a chain of eight, and of four at the end
     assert joined_rows(df) < 5000
+
+
+def _settled(monkeypatch, kept):
+    real = graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, name: kept.append(real(df, name)) or kept[-1])
+
+
+def test_shortest_path_by_brute_force(spark):
+    rnd = random.Random(9)
+    pairs = [(f"n{rnd.randrange(40):02d}", f"n{rnd.randrange(40):02d}") for _ in range(55)]
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in pairs], "source string, target string, type string").coalesce(1)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def brute(source, target):
+        at, level = {source: 0}, {source}
+        while level:
+            level = {y for x in level for y in near.get(x, ())} - set(at)
+            at |= {x: max(at.values()) + 1 for x in level}
+        if target not in at or at[target] > 8:
+            return []
+        path = [target]
+        while path[-1] != source:
+            path.append(min(x for x in near[path[-1]] if at.get(x) == at[path[-1]] - 1))
+        return path[::-1]
+
+    for a, b in (("n00", "n39"), ("n05", "n31"), ("n12", "n07")):
+        assert graph.shortest_path(edges, a, b) == brute(a, b)
+
+
+def test_shortest_path_does_not_write_the_graph(spark, monkeypatch):
+    kept = []
+    _settled(monkeypatch, kept)
+    edges = spark.sql("SELECT 'a' AS source, 'm' AS target, 'CALLS' AS type UNION ALL SELECT 'b', 'm', 'CALLS' UNION ALL SELECT 'm', concat('x', id), 'CALLS' FROM range(3000)")
+    assert graph.shortest_path(edges, "a", "b") == ["a", "m", "b"]
+    assert sum(x.count() for x in kept) < 100
