@@ -108,3 +108,13 @@ def test_shortest_path_does_not_write_the_graph(spark, monkeypatch):
     edges = spark.sql("SELECT 'a' AS source, 'm' AS target, 'CALLS' AS type UNION ALL SELECT 'b', 'm', 'CALLS' UNION ALL SELECT 'm', concat('x', id), 'CALLS' FROM range(3000)")
     assert graph.shortest_path(edges, "a", "b") == ["a", "m", "b"]
     assert sum(x.count() for x in kept) < 100
+
+
+def test_reach_writes_no_more_than_it_reaches(spark, monkeypatch):
+    kept = []
+    _settled(monkeypatch, kept)
+    edges = spark.range(3000).selectExpr("concat('a', id) AS source", "concat('a', id + 1) AS target", "'CALLS' AS type")
+    nodes = spark.range(3000).filter("id <> 8").selectExpr("concat('a', id) AS id", "'Symbol' AS type")
+    got = graph.weighted_reach(edges, nodes, spark.createDataFrame([(1, "a7")], "query_id int, id string"), 2)
+    assert {(r.node, round(r.strength, 6)) for r in got.collect()} == {("a7", 1.0), ("a6", 0.765), ("a5", 0.585225), ("a7", 1.0)}
+    assert sum(x.count() for x in kept) < 50
