@@ -118,3 +118,13 @@ def test_reach_writes_no_more_than_it_reaches(spark, monkeypatch):
     got = graph.weighted_reach(edges, nodes, spark.createDataFrame([(1, "a7")], "query_id int, id string"), 2)
     assert {(r.node, round(r.strength, 6)) for r in got.collect()} == {("a7", 1.0), ("a6", 0.765), ("a5", 0.585225), ("a7", 1.0)}
     assert sum(x.count() for x in kept) < 50
+
+
+def test_search_takes_its_edges_before_they_are_exchanged(spark, monkeypatch):
+    plans, real = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    edges = spark.range(3000).selectExpr("concat('a', id) AS source", "concat('a', id + 1) AS target", "'CALLS' AS type").distinct()
+    got = graph.bfs(edges, spark.createDataFrame([("a7",)], "id string"), 2)
+    assert {(r.node, r.distance) for r in got.collect()} == {("a7", 0), ("a6", 1), ("a8", 1), ("a5", 2), ("a9", 2)}
+    for p in plans[1:]:
+        assert p.index("Aggregate [source") < p.index("Join LeftSemi, (source")
