@@ -21,13 +21,22 @@ WEIGHTS = {"label": 0.4, "body": 5.0, "path": 0.3}
 K1, B = 1.2, 0.75
 
 
+#: Documents whose matches one task holds at a time.
+_HELD = 2_000
+
+
+def _tasks(documents: DataFrame) -> int:
+    """Tasks that documents are dealt to: a task's memory does not grow with them."""
+    return documents.count() // _HELD + 1
+
+
 def postings(documents: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(node_id, term, f, c): weighted and plain term frequency over the indexed
     columns. Texts are dealt out by document, so splitting runs in parallel
     however few splits the source has, and counting needs no further exchange."""
     weights = weights or WEIGHTS
     parts = [_weighted(c, w) for c, w in weights.items()]
-    dealt = documents.select("node_id", *weights).repartition("node_id")
+    dealt = documents.select("node_id", *weights).repartition(_tasks(documents), "node_id")
     exploded = dealt.select("node_id", F.explode(F.concat(*parts)).alias("x"))
     return exploded.groupBy("node_id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("f"), F.count(F.lit(1)).alias("c"))
 
@@ -83,10 +92,11 @@ def bm25(documents: DataFrame | TextIndex, queries: DataFrame, weights: dict[str
     literal = forms.filter("NOT is_prefix").select("form", "is_prefix", F.col("form").alias("term")).distinct()
     prefix = forms.filter("is_prefix").select("form", "is_prefix").distinct().join(prefixes, "form").select("form", "is_prefix", "term")
     # what a form matches does not depend on the query that asks for it
-    matched = literal.unionByName(prefix).join(index.postings, "term")
+    tasks = _tasks(index.lengths)
+    matched = literal.unionByName(prefix).join(index.postings, "term").repartition(tasks, "node_id")
     hits = settle(matched.groupBy("form", "is_prefix", "node_id").agg(F.sum("f").alias("f")), "hits")
     df = hits.groupBy("form", "is_prefix").agg(F.count(F.lit(1)).alias("n"))
-    scored = hits.join(df, ["form", "is_prefix"]).join(index.lengths, "node_id").crossJoin(F.broadcast(index.totals))
+    scored = hits.join(df, ["form", "is_prefix"]).repartition(tasks, "node_id").join(index.lengths, "node_id").crossJoin(F.broadcast(index.totals))
     idf = F.greatest(F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
     scored = scored.select("form", "is_prefix", "node_id", part.alias("part"))
@@ -153,7 +163,8 @@ def flat_overlap(documents: DataFrame, queries: DataFrame, top: int = 8) -> Data
     """The baseline: distinct shared tokens of three or more characters."""
     long_tokens = lambda c: F.array_distinct(F.filter(tokens(c), lambda t: F.length(t) > 2))
     asked = queries.select("query_id", F.explode(long_tokens(F.col("query"))).alias("term"))
-    body = documents.select("node_id", F.explode(long_tokens(F.concat_ws(" ", "label", "body", "path"))).alias("term"))
+    dealt = documents.select("node_id", "label", "body", "path").repartition(_tasks(documents), "node_id")
+    body = dealt.select("node_id", F.explode(long_tokens(F.concat_ws(" ", "label", "body", "path"))).alias("term"))
     scored = body.join(asked, "term").groupBy("query_id", "node_id").agg(F.count(F.lit(1)).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)

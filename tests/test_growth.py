@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from evidgraph.operators import derive, graph, resolve
+from evidgraph.operators import derive, graph, resolve, search
 
 
 def _children(plan):
@@ -128,3 +128,13 @@ def test_search_takes_its_edges_before_they_are_exchanged(spark, monkeypatch):
     assert {(r.node, r.distance) for r in got.collect()} == {("a7", 0), ("a6", 1), ("a8", 1), ("a5", 2), ("a9", 2)}
     for p in plans[1:]:
         assert p.index("Aggregate [source") < p.index("Join LeftSemi, (source")
+
+
+def test_search_deals_documents_to_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(search, "_HELD", 5)
+    rows = [(f"d{i}", "label", f"apple number{i}", "p/q") for i in range(60)]
+    docs = spark.createDataFrame(rows, "node_id string, label string, body string, path string")
+    assert search.postings(docs).rdd.getNumPartitions() == 13
+    found = search.flat_overlap(docs, spark.createDataFrame([(1, "apple number7")], "query_id int, query string"))
+    assert [(r.node_id, r.score) for r in found.orderBy("rank").limit(2).collect()] == [("d7", 2), ("d0", 1)]
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
