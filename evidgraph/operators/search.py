@@ -25,6 +25,10 @@ K1, B = 1.2, 0.75
 _HELD = 2_000
 
 
+#: Forms up to so many go to the hits.
+_FEW_FORMS = 20_000
+
+
 def _tasks(documents: DataFrame) -> int:
     """Tasks that documents are dealt to: a task's memory does not grow with them."""
     return documents.count() // _HELD + 1
@@ -95,7 +99,9 @@ def bm25(documents: DataFrame | TextIndex, queries: DataFrame, weights: dict[str
     tasks = _tasks(index.lengths)
     matched = literal.unionByName(prefix).join(index.postings, "term").repartition(tasks, "node_id")
     hits = settle(matched.groupBy("form", "is_prefix", "node_id").agg(F.sum("f").alias("f")), "hits")
-    df = hits.groupBy("form", "is_prefix").agg(F.count(F.lit(1)).alias("n"))
+    df = settle(hits.groupBy("form", "is_prefix").agg(F.count(F.lit(1)).alias("n")), "df")
+    if df.count() <= _FEW_FORMS:  # else hits would be sorted by form, a common one in one task
+        df = F.broadcast(df)
     scored = hits.join(df, ["form", "is_prefix"]).repartition(tasks, "node_id").join(index.lengths, "node_id").crossJoin(F.broadcast(index.totals))
     idf = F.greatest(F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
